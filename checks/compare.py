@@ -20,6 +20,11 @@ def connection(sf_dir: str):
     return con
 
 
+# DuckDB's names for Spark's result types.
+TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+         "boolean": "BOOLEAN"}
+
+
 def _plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
@@ -39,8 +44,12 @@ def compare(spark, con, sf_dir: str, function, sql: str) -> tuple[int, list[str]
     result = con.execute(sql)
     names, theirs = _rows([d[0] for d in result.description], result.fetchall())
     problems = []
+    kinds = {n: TYPES.get(t, t) for n, t in df.dtypes}
+    their_kinds = {d[0]: str(d[1]) for d in result.description}
     if columns != names:
         problems.append(f"columns {columns} != {names}")
+    elif kinds != their_kinds:
+        problems.append(f"types {kinds} != {their_kinds}")
     if len(ours) != len(theirs):
         problems.append(f"{len(ours)} rows != {len(theirs)}")
     wrong = [(a, b) for a, b in zip(ours, theirs)

@@ -35,7 +35,7 @@ _VALID = f"valid AS (SELECT * FROM questions WHERE {_COMPLETE})"
 
 
 def _seconds(tc: str, two_field: str = "hhmm") -> str:
-    h, m, s = (f"CAST(split_part({tc}, ':', {i}) AS DOUBLE)" for i in (1, 2, 3))
+    h, m, s = (f"CAST(split_part({tc}, ':', {i}) AS BIGINT)" for i in (1, 2, 3))
     three = f"{h}*3600 + {m}*60 + {s}"
     two = f"{h}*3600 + {m}*60" if two_field == "hhmm" else f"{h}*60 + {m}"
     return f"CASE WHEN {tc} LIKE '%:%:%' THEN {three} ELSE {two} END"
@@ -43,7 +43,7 @@ def _seconds(tc: str, two_field: str = "hhmm") -> str:
 
 _HINTS = (f"list_sort([{_seconds('tc')} FOR tc IN regexp_extract_all(question, '{_RX}')])")
 _HINTED = f"hinted AS (SELECT *, {_HINTS} AS hints FROM valid)"
-_HINTS_TEXT = "array_to_string([CAST(CAST(h AS BIGINT) AS VARCHAR) FOR h IN hints], ',')"
+_HINTS_TEXT = "array_to_string([CAST(h AS VARCHAR) FOR h IN hints], ',')"
 
 _ANSWER_COLUMNS = """
     CASE WHEN pos % 3 = 0 THEN '' ELSE upper(question_type) END AS model_answer,
@@ -230,7 +230,7 @@ def _plan_rows(key: str) -> str:
 
 def _document_plan(config: EvalConfig) -> str:
     return _with([], _plan_rows("doc_id"), """docs AS (SELECT doc_id, CAST(25 AS DOUBLE) AS fps,
-        n_chars AS total_frames, CAST([] AS DOUBLE[]) AS hints FROM documents)""",
+        n_chars AS total_frames, CAST([] AS BIGINT[]) AS hints FROM documents)""",
                  *_plan("docs", config, "doc_id"))
 
 

@@ -41,7 +41,7 @@ def all_queries() -> dict:
 
 
 def _hints_text(hints: str = "hints") -> Column:
-    return F.array_join(F.transform(hints, lambda h: h.cast("bigint").cast("string")), ",")
+    return F.array_join(F.transform(hints, lambda h: h.cast("string")), ",")
 
 
 def _frames_rows(df: DataFrame, *keep: str) -> DataFrame:
@@ -369,7 +369,7 @@ def clamped_times(spark, sf_dir):
 def _document_plan(spark, sf_dir, config: EvalConfig, frames: Column) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", F.lit(25.0).alias("fps"), frames.alias("total_frames"),
-        F.array().cast("array<double>").alias("hints"))
+        F.array().cast("array<bigint>").alias("hints"))
     return (frame_ops.with_frame_times(docs, config)
             .select("doc_id", "fps", F.posexplode("times").alias("n", "t"))
             .select("doc_id", "n", "t",
@@ -512,8 +512,8 @@ def question_frames(spark, sf_dir):
 
 def _askable(spark, sf_dir) -> DataFrame:
     ship_package(spark, Path(__file__).parent)
-    asked = items.valid_items(table(spark, sf_dir, "questions").filter(
-        F.col("question").contains("#")))
+    asked = inference.spread_out(items.valid_items(table(spark, sf_dir, "questions").filter(
+        F.col("question").contains("#"))), None, ["pos"])
     return _with_paths(asked.withColumn("frame_count", F.col("pos") % 23)).withColumn(
         "frame_error", F.when(F.col("pos") % 29 == 0, "RuntimeError: Cannot open video: x")
     ).drop("frame_count")

@@ -50,8 +50,8 @@ def round_half_even_2(x: Column) -> Column:
 def hinted_times(hints: Column, radius: float, end: Column) -> Column:
     """Each hint with one time before and one after it, kept inside the video."""
     low = F.lit(0.0)
-    around = F.transform(hints, lambda t: F.array(
-        clamp(t - radius, low, end), clamp(t, low, end), clamp(t + radius, low, end)))
+    around = F.transform(hints, lambda t: F.array(*[
+        clamp(t + F.lit(float(d)), low, end) for d in (-radius, 0.0, radius)]))
     return F.flatten(around)
 
 

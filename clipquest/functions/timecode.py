@@ -25,14 +25,14 @@ def first_timecode(text: Column) -> Column:
 
 
 def clock_seconds(timecode: Column, two_field: str = "hhmm") -> Column:
-    """Seconds of a string that is exactly one timecode."""
+    """Whole seconds of a string that is exactly one timecode."""
 
     def part(start: int) -> Column:
-        return F.substring(timecode, start, 2).cast("double")
+        return F.substring(timecode, start, 2).cast("bigint")
 
     first, second = part(1), part(4)
     third = F.when(F.length(timecode) > 5, part(7))
-    long_form = first * 3600 + second * 60 + F.coalesce(third, F.lit(0.0))
+    long_form = first * 3600 + second * 60 + F.coalesce(third, F.lit(0))
     if two_field == "hhmm":
         return long_form
     return F.when(third.isNull(), first * 60 + second).otherwise(long_form)

@@ -9,7 +9,7 @@ from clipquest.config import EvalConfig
 from clipquest.functions import frame_files, frame_times
 from clipquest.functions.timecode import hint_seconds
 from clipquest.operators.frame_index import bit_set, frame_words, readable_prefix, word_number
-from clipquest.operators.skew import SkewPolicy, lookup_join
+from clipquest.operators.skew import SkewPolicy, lookup_join, only_large, rows_per_key
 
 KEY = ["id", "hints"]
 FRAMES_TYPE = "array<struct<t: double, idx: bigint, path: string>>"
@@ -79,11 +79,15 @@ def wanted_frames(planned: DataFrame) -> DataFrame:
             .withColumn("word", word_number(F.col("idx"))))
 
 
-def readable_frames(wanted: DataFrame, words: DataFrame,
+def readable_frames(wanted: DataFrame, words: DataFrame, counts: DataFrame | None = None,
                     policy: SkewPolicy = SkewPolicy()) -> DataFrame:
-    """Mark each wanted frame with whether it can be read."""
+    """Mark each wanted frame with whether it can be read.
+
+    Late hints all fall on the last frames of their video, so one word may be
+    wanted by every plan of a video.
+    """
     marked = lookup_join(wanted, words, ["id", "word"], spread=["hints", "idx"], how="left",
-                         policy=policy)
+                         counts=counts, policy=policy)
     return (marked.withColumn("is_readable", bit_set(F.col("bits"), F.col("idx")))
             .drop("bits", "word"))
 
@@ -107,9 +111,14 @@ def select_frames(keys: DataFrame, facts: DataFrame, words: DataFrame, config: E
     id has no file drop out. ``frame_error`` is set where a file cannot be
     opened, or the job fails if the configuration says so.
     """
-    resolved = lookup_join(keys, facts, ["id"], spread=["hints"], how="inner", policy=policy)
-    planned = with_frame_times(resolved, config)
-    marked = readable_frames(wanted_frames(planned), words, policy)
+    per_id = rows_per_key(keys, ["id"])
+    resolved = lookup_join(keys, facts, ["id"], spread=["hints"], how="inner", counts=per_id,
+                           policy=policy)
+    wanted = wanted_frames(with_frame_times(resolved, config))
+    # Only the words of ids with very many plans can be hot; count no others.
+    per_word = rows_per_key(
+        only_large(wanted, per_id, ["id"], config.max_frames, policy), ["id", "word"])
+    marked = readable_frames(wanted, words, per_word, policy)
     carried = ["_rows", "video_path", "fps", "total_frames", "openable", "readable", "first_frame"]
     sought = (marked.groupBy(*KEY, *carried)
               .agg(F.sort_array(F.collect_list(F.when(

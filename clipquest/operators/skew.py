@@ -36,6 +36,24 @@ def hot_keys(counts: DataFrame, on: Sequence[str], policy: SkewPolicy) -> DataFr
     )
 
 
+def rows_per_key(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Key counts in the form :func:`lookup_join` takes."""
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias(_COUNT))
+
+
+def only_large(df: DataFrame, counts: DataFrame, on: Sequence[str], factor: int,
+               policy: SkewPolicy) -> DataFrame:
+    """Rows whose key may have over ``rows_per_slice`` rows after growing ``factor``-fold.
+
+    Where no key is that large, the adaptive planner drops this branch
+    before it runs. A wrong hash match keeps rows that could have gone.
+    """
+    limit = max(1, policy.rows_per_slice // factor)
+    large = hot_keys(counts, on, SkewPolicy(limit, policy.max_hot_keys)).select(_KEY)
+    return df.withColumn(_KEY, F.xxhash64(*on)).join(
+        F.broadcast(large), _KEY, "left_semi").drop(_KEY)
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], *, spread: Sequence[str],
                 how: str = "left", counts: DataFrame | None = None,
                 policy: SkewPolicy = SkewPolicy()) -> DataFrame:
@@ -51,7 +69,7 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], *, spread:
     if how not in ("left", "inner", "left_semi"):
         raise ValueError(f"lookup_join cannot do {how!r}")
     if counts is None:
-        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias(_COUNT))
+        counts = rows_per_key(left, on)
     hot = F.broadcast(hot_keys(counts, on, policy))
 
     def sliced(df: DataFrame) -> DataFrame:

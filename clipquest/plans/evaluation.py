@@ -12,7 +12,7 @@ from clipquest.config import EvalConfig
 from clipquest.operators import frames as frame_ops
 from clipquest.operators.assets import best_assets
 from clipquest.operators.frame_index import frame_words
-from clipquest.operators.inference import PARSED_COLUMNS, answers
+from clipquest.operators.inference import PARSED_COLUMNS, answers, spread_out
 from clipquest.operators.items import valid_items, with_answers
 from clipquest.operators.skew import SkewPolicy
 
@@ -65,12 +65,11 @@ def evaluate(items: DataFrame, tables: VideoTables, make_backend: Callable, conf
              **asking) -> DataFrame:
     """Answer every valid item.
 
-    ``partitions`` sets how many model tasks there are; by default the join's
-    partitioning is kept.
+    Model calls cost far more than bytes, so the rows are dealt out evenly over
+    ``partitions`` tasks first; small joins would leave them in a few.
     """
     prepared = prepare(items, tables, config, policy, spread, selected)
-    if partitions:
-        prepared = prepared.repartition(partitions, *spread)
+    prepared = spread_out(prepared, partitions, spread)
     answered = answers(prepared, make_backend, config, **asking)
     parsed = [F.col(f"parsed_{name}") for name in ("answer", "raw", "rationale")]
     shaped = with_answers(answered, *parsed, F.col("video_path"), config.keep_rationale)
