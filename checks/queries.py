@@ -51,8 +51,8 @@ def _frames_rows(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def _message_rows(df: DataFrame, *keep: str) -> DataFrame:
-    flat = df.select(*keep, F.posexplode("messages").alias("message_no", "m")).select(
-        *keep, "message_no", "m.role", F.posexplode("m.content").alias("part_no", "p"))
+    flat = df.select(*keep, F.posexplode_outer("messages").alias("message_no", "m")).select(
+        *keep, "message_no", "m.role", F.posexplode_outer("m.content").alias("part_no", "p"))
     return flat.select(*keep, "message_no", "role", "part_no", "p.type", "p.text",
                        F.array_join("p.refs", "|").alias("refs"))
 
@@ -371,7 +371,7 @@ def _document_plan(spark, sf_dir, config: EvalConfig, frames: Column) -> DataFra
         "doc_id", F.lit(25.0).alias("fps"), frames.alias("total_frames"),
         F.array().cast("array<bigint>").alias("hints"))
     return (frame_ops.with_frame_times(docs, config)
-            .select("doc_id", "fps", F.posexplode("times").alias("n", "t"))
+            .select("doc_id", "fps", F.posexplode_outer("times").alias("n", "t"))
             .select("doc_id", "n", "t",
                     frame_times.frame_number(F.col("t"), F.col("fps")).alias("idx")))
 
@@ -397,7 +397,7 @@ def hinted_frame_plan(spark, sf_dir):
         F.col("event_id").alias("pos"), F.lit(29.97).alias("fps"),
         (F.col("value") * 25).cast("bigint").alias("total_frames")), "pos")
     planned = frame_ops.with_frame_times(rows.filter(F.size("hints") > 0), LENIENT)
-    return (planned.select("pos", "fps", F.posexplode("times").alias("n", "t"))
+    return (planned.select("pos", "fps", F.posexplode_outer("times").alias("n", "t"))
             .select("pos", "n", "t",
                     frame_times.frame_number(F.col("t"), F.col("fps")).alias("idx")))
 

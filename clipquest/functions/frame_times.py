@@ -37,14 +37,18 @@ def round_half_even_2(x: Column) -> Column:
     """Round to two decimals by the exact binary value, exact ties to even.
 
     ``bround`` decides from the shortest decimal text, which calls 2.675 a tie
-    although the double lies below it. Here the sign of ``200 x - (2 q + 1)``
-    is computed without rounding error, with ``q`` the hundredths below ``x``.
+    although the double lies below it. Values whose third decimal is not a five
+    are far from any tie, and plain scaling serves them. For the others the
+    sign of ``200 x - (2 q + 1)`` is found without rounding error, with ``q``
+    the whole hundredths below ``x``.
     """
+    near_tie = F.abs(F.rint(x * 1000.0) % 10.0) == 5.0
     q = F.floor(x * 100.0).cast("double")
     high = x * _SPLITTER - (x * _SPLITTER - x)
     side = (high * 200.0 - (q * 2.0 + 1.0)) + (x - high) * 200.0
-    up = (side > 0) | ((side == 0) & (q % 2.0 != 0))
-    return (q + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / 100.0
+    nearest = (F.when(side < 0, q).when(side > 0, q + 1.0)
+               .otherwise(F.rint(q / 2.0 + 0.25) * 2.0))
+    return F.when(near_tie, nearest).otherwise(F.rint(x * 100.0)) / 100.0
 
 
 def hinted_times(hints: Column, radius: float, end: Column) -> Column:

@@ -9,7 +9,8 @@ from clipquest.config import EvalConfig
 from clipquest.functions import frame_files, frame_times
 from clipquest.functions.timecode import hint_seconds
 from clipquest.operators.frame_index import bit_set, frame_words, readable_prefix, word_number
-from clipquest.operators.skew import SkewPolicy, lookup_join, only_large, rows_per_key
+from clipquest.operators.skew import (ROWS, SkewPolicy, large_keys, lookup_join, only_keys,
+                                      rows_per_key)
 
 KEY = ["id", "hints"]
 FRAMES_TYPE = "array<struct<t: double, idx: bigint, path: string>>"
@@ -25,7 +26,7 @@ def with_hints(items: DataFrame, config: EvalConfig) -> DataFrame:
 
 def plan_keys(hinted: DataFrame) -> DataFrame:
     """Each distinct (id, hints) once, with the number of questions that share it."""
-    return hinted.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_rows"))
+    return hinted.groupBy(*KEY).agg(F.count(F.lit(1)).alias(ROWS))
 
 
 def video_facts(assets: DataFrame, videos: DataFrame, frame_index: DataFrame | None = None,
@@ -79,7 +80,7 @@ def wanted_frames(planned: DataFrame) -> DataFrame:
             .withColumn("word", word_number(F.col("idx"))))
 
 
-def readable_frames(wanted: DataFrame, words: DataFrame, counts: DataFrame | None = None,
+def readable_frames(wanted: DataFrame, words: DataFrame, large: dict[int, int] | None = None,
                     policy: SkewPolicy = SkewPolicy()) -> DataFrame:
     """Mark each wanted frame with whether it can be read.
 
@@ -87,7 +88,7 @@ def readable_frames(wanted: DataFrame, words: DataFrame, counts: DataFrame | Non
     wanted by every plan of a video.
     """
     marked = lookup_join(wanted, words, ["id", "word"], spread=["hints", "idx"], how="left",
-                         counts=counts, policy=policy)
+                         large=large, policy=policy)
     return (marked.withColumn("is_readable", bit_set(F.col("bits"), F.col("idx")))
             .drop("bits", "word"))
 
@@ -109,17 +110,18 @@ def select_frames(keys: DataFrame, facts: DataFrame, words: DataFrame, config: E
     Sought frames come first; a plan without one falls back to the readable
     start of its video, then to the separately grabbed first frame. Keys whose
     id has no file drop out. ``frame_error`` is set where a file cannot be
-    opened, or the job fails if the configuration says so.
+    opened, or the job fails if the configuration says so. ``keys`` are read
+    more than once, so pass a stored table.
     """
-    per_id = rows_per_key(keys, ["id"])
-    resolved = lookup_join(keys, facts, ["id"], spread=["hints"], how="inner", counts=per_id,
+    large_ids = large_keys(rows_per_key(keys, ["id"]), ["id"], policy, config.max_frames)
+    resolved = lookup_join(keys, facts, ["id"], spread=["hints"], how="inner", large=large_ids,
                            policy=policy)
     wanted = wanted_frames(with_frame_times(resolved, config))
-    # Only the words of ids with very many plans can be hot; count no others.
-    per_word = rows_per_key(
-        only_large(wanted, per_id, ["id"], config.max_frames, policy), ["id", "word"])
-    marked = readable_frames(wanted, words, per_word, policy)
-    carried = ["_rows", "video_path", "fps", "total_frames", "openable", "readable", "first_frame"]
+    # Only words of ids with very many plans can be hot, so no others are counted.
+    large_words = {} if not large_ids else large_keys(
+        rows_per_key(only_keys(wanted, ["id"], large_ids), ["id", "word"]), ["id", "word"], policy)
+    marked = readable_frames(wanted, words, large_words, policy)
+    carried = [ROWS, "video_path", "fps", "total_frames", "openable", "readable", "first_frame"]
     sought = (marked.groupBy(*KEY, *carried)
               .agg(F.sort_array(F.collect_list(F.when(
                   F.col("is_readable"), F.struct("t", "idx")))).alias("sought")))
@@ -145,17 +147,19 @@ def select_frames(keys: DataFrame, facts: DataFrame, words: DataFrame, config: E
               .when(F.col("tier") == FIRST_FRAME, grabbed)
               .otherwise(F.array()))
     return (sought.withColumn("tier", tier)
-            .select(*KEY, "_rows", "video_path", "tier", frames.cast(FRAMES_TYPE).alias("frames"),
+            .select(*KEY, ROWS, "video_path", "tier", frames.cast(FRAMES_TYPE).alias("frames"),
                     F.when(~F.col("openable"), problem).alias("frame_error")))
 
 
 def attach_frames(hinted: DataFrame, selected: DataFrame, spread: list[str],
-                  policy: SkewPolicy = SkewPolicy()) -> DataFrame:
+                  keys: DataFrame | None = None, policy: SkewPolicy = SkewPolicy()) -> DataFrame:
     """Bring the frames of its plan key to every question.
 
-    This is the only shuffle of the whole question rows. The key counts come
-    with ``selected``, so hot keys are known without another pass.
+    This is the only shuffle of the whole question rows. The counts of
+    ``keys``, or those stored with ``selected``, tell the hot keys, so the
+    questions are not counted again.
     """
-    joined = lookup_join(hinted, selected.drop("_rows"), KEY, spread=spread, how="left",
-                         counts=selected.select(*KEY, "_rows"), policy=policy)
+    large = large_keys(selected if keys is None else keys, KEY, policy)
+    joined = lookup_join(hinted, selected.drop(ROWS), KEY, spread=spread, how="left",
+                         large=large, policy=policy)
     return joined.withColumn("frames", F.coalesce("frames", F.array().cast(FRAMES_TYPE)))

@@ -8,15 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_KEY, _SLICES, _SLICE, _COUNT = "_hot_key", "_hot_slices", "_slice", "_rows"
+_KEY, _SLICES, _SLICE, ROWS = "_hot_key", "_hot_slices", "_slice", "_rows"
 
 
 @dataclass(frozen=True)
 class SkewPolicy:
     """Keys with more than ``rows_per_slice`` rows are split over several slices.
 
-    At most ``max_hot_keys`` keys are split, so the broadcast list of them never
-    exceeds that many pairs of numbers. Any key left out holds fewer than
+    At most ``max_hot_keys`` keys are split, so the list of them stays a few
+    thousand pairs of numbers whatever the data. A key left out holds fewer than
     ``1 / max_hot_keys`` of all rows.
     """
 
@@ -24,62 +24,63 @@ class SkewPolicy:
     max_hot_keys: int = 4096
 
 
-def hot_keys(counts: DataFrame, on: Sequence[str], policy: SkewPolicy) -> DataFrame:
-    """Hash and slice count of the largest keys, from a table of key counts."""
-    slices = F.ceil(F.col(_COUNT) / policy.rows_per_slice).cast("int")
-    return (
-        counts.filter(F.col(_COUNT) > policy.rows_per_slice)
-        .select(F.xxhash64(*on).alias(_KEY), slices.alias(_SLICES))
-        .orderBy(F.desc(_SLICES), _KEY)
-        .limit(policy.max_hot_keys)
-        .groupBy(_KEY).agg(F.max(_SLICES).alias(_SLICES))
-    )
-
-
 def rows_per_key(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Key counts in the form :func:`lookup_join` takes."""
-    return df.groupBy(*on).agg(F.count(F.lit(1)).alias(_COUNT))
+    """Row counts per key, combined map side."""
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias(ROWS))
 
 
-def only_large(df: DataFrame, counts: DataFrame, on: Sequence[str], factor: int,
-               policy: SkewPolicy) -> DataFrame:
-    """Rows whose key may have over ``rows_per_slice`` rows after growing ``factor``-fold.
+def large_keys(counts: DataFrame, on: Sequence[str], policy: SkewPolicy = SkewPolicy(),
+               growth: int = 1) -> dict[int, int]:
+    """Hashes and row counts of the largest keys; runs a job over ``counts``.
 
-    Where no key is that large, the adaptive planner drops this branch
-    before it runs. A wrong hash match keeps rows that could have gone.
+    Only keys that exceed a slice after growing ``growth``-fold are returned,
+    and never more than the policy allows.
     """
-    limit = max(1, policy.rows_per_slice // factor)
-    large = hot_keys(counts, on, SkewPolicy(limit, policy.max_hot_keys)).select(_KEY)
+    over = counts.filter(F.col(ROWS) > policy.rows_per_slice // growth)
+    top = over.orderBy(F.desc(ROWS)).limit(policy.max_hot_keys)
+    found: dict[int, int] = {}
+    for key, rows in top.select(F.xxhash64(*on), ROWS).collect():
+        found[key] = found.get(key, 0) + rows
+    return found
+
+
+def only_keys(df: DataFrame, on: Sequence[str], keys: dict[int, int]) -> DataFrame:
+    """Rows whose key has one of these hashes; a chance match keeps a row too many."""
+    wanted = df.sparkSession.createDataFrame([(k,) for k in keys], f"{_KEY} bigint")
     return df.withColumn(_KEY, F.xxhash64(*on)).join(
-        F.broadcast(large), _KEY, "left_semi").drop(_KEY)
+        F.broadcast(wanted), _KEY, "left_semi").drop(_KEY)
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], *, spread: Sequence[str],
-                how: str = "left", counts: DataFrame | None = None,
+                how: str = "left", large: dict[int, int] | None = None,
                 policy: SkewPolicy = SkewPolicy()) -> DataFrame:
     """Join ``left`` to a table that has at most one row per key.
 
     A hot key of ``left`` is cut into slices by a hash of the ``spread``
-    columns, and only its row of ``right`` is repeated once per slice, so the
-    result is that of the plain join. Rows are counted per key with map-side
-    combining unless ``counts`` (the key columns and ``_rows``) is at hand.
-    A wrong hash match only splits a key that needed no splitting.
+    columns, and only its row of ``right`` is repeated, once per slice, so the
+    result is that of the plain join. ``large`` comes from :func:`large_keys`;
+    without it the keys of ``left`` are counted first. A chance hash match only
+    splits a key that needed no splitting.
     """
     on = list(on)
     if how not in ("left", "inner", "left_semi"):
         raise ValueError(f"lookup_join cannot do {how!r}")
-    if counts is None:
-        counts = rows_per_key(left, on)
-    hot = F.broadcast(hot_keys(counts, on, policy))
+    if large is None:
+        large = large_keys(rows_per_key(left, on), on, policy)
+    slices = [(key, -(-rows // policy.rows_per_slice)) for key, rows in large.items()
+              if rows > policy.rows_per_slice]
+    if not slices:
+        return left.join(right, on, how)
+
+    hot = F.broadcast(left.sparkSession.createDataFrame(slices, f"{_KEY} bigint, {_SLICES} int"))
 
-    def sliced(df: DataFrame) -> DataFrame:
-        return df.withColumn(_KEY, F.xxhash64(*on)).join(hot, _KEY, "left")
+    def with_slices(df: DataFrame) -> DataFrame:
+        return df.withColumn(_KEY, F.xxhash64(*on)).join(hot, _KEY, "left").drop(_KEY)
 
     width = F.coalesce(F.col(_SLICES), F.lit(1))
-    cut_left = sliced(left).withColumn(
+    cut_left = with_slices(left).withColumn(
         _SLICE, F.pmod(F.xxhash64(*spread), width).cast("int"))
-    cut_right = sliced(right).withColumn(
+    cut_right = with_slices(right).withColumn(
         _SLICE, F.explode(F.sequence(F.lit(0), width - 1)))
-    return (cut_left.drop(_KEY, _SLICES)
-            .join(cut_right.drop(_KEY, _SLICES), [*on, _SLICE], how)
+    return (cut_left.drop(_SLICES).join(cut_right.drop(_SLICES), [*on, _SLICE], how)
             .drop(_SLICE))

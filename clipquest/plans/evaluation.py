@@ -15,6 +15,7 @@ from clipquest.operators.frame_index import frame_words
 from clipquest.operators.inference import PARSED_COLUMNS, answers, spread_out
 from clipquest.operators.items import valid_items, with_answers
 from clipquest.operators.skew import SkewPolicy
+from clipquest.session import materialize
 
 
 @dataclass(frozen=True)
@@ -32,31 +33,42 @@ class VideoTables:
     first_frame: DataFrame | None = None
 
 
-def frame_table(items: DataFrame, tables: VideoTables, config: EvalConfig,
-                policy: SkewPolicy = SkewPolicy()) -> DataFrame:
-    """Frames of every distinct (id, hints) among the items.
+def stored_keys(hinted: DataFrame) -> DataFrame:
+    """The distinct plan keys, written once: everything about frames starts from them."""
+    return materialize(frame_ops.plan_keys(hinted), "plan-keys")
 
-    The questions are reduced to their plan keys first, map side, so the video
-    tables meet keys and not questions.
-    """
-    keys = frame_ops.plan_keys(frame_ops.with_hints(valid_items(items), config))
+
+def frames_of_keys(keys: DataFrame, tables: VideoTables, config: EvalConfig,
+                   policy: SkewPolicy = SkewPolicy()) -> DataFrame:
+    """Frames of each plan key; the video tables meet keys and not questions."""
     words = frame_words(tables.frame_index)
     facts = frame_ops.video_facts(best_assets(tables.manifest, config.videos_dir), tables.videos,
                                   first_frame=tables.first_frame, words=words)
     return frame_ops.select_frames(keys, facts, words, config, policy)
 
 
+def frame_table(items: DataFrame, tables: VideoTables, config: EvalConfig,
+                policy: SkewPolicy = SkewPolicy()) -> DataFrame:
+    """Frames of every distinct (id, hints) among the items, to be stored and reused."""
+    keys = stored_keys(frame_ops.with_hints(valid_items(items), config))
+    return frames_of_keys(keys, tables, config, policy)
+
+
 def prepare(items: DataFrame, tables: VideoTables, config: EvalConfig,
             policy: SkewPolicy = SkewPolicy(), spread: tuple[str, ...] = ("pos",),
             selected: DataFrame | None = None) -> DataFrame:
     """Valid items with their video path and frames, ready to be asked.
 
-    Pass ``selected`` to reuse a stored frame table.
+    The questions are reduced to their plan keys map side and shuffled whole
+    only once, to get their frames. Pass ``selected`` to reuse a stored frame
+    table.
     """
-    if selected is None:
-        selected = frame_table(items, tables, config, policy)
     hinted = frame_ops.with_hints(valid_items(items), config)
-    return frame_ops.attach_frames(hinted, selected, list(spread), policy).drop("hints")
+    keys = None
+    if selected is None:
+        keys = stored_keys(hinted)
+        selected = frames_of_keys(keys, tables, config, policy)
+    return frame_ops.attach_frames(hinted, selected, list(spread), keys, policy).drop("hints")
 
 
 def evaluate(items: DataFrame, tables: VideoTables, make_backend: Callable, config: EvalConfig,
