@@ -137,7 +137,7 @@ def frame_paths(spark, sf_dir):
         F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("id"), "p_retailprice",
         "p_size")
     video = asset_ops.best_assets(_manifest(spark, sf_dir), VIDEOS_DIR)
-    path = F.col("video_path")
+    path = frame_files.frame_prefix(F.col("video_path"))
     return video.join(part, "id").select(
         "id", frame_files.frame_path(
             path, frame_files.seek_tag(F.col("p_retailprice") / 7)).alias("seek_path"),

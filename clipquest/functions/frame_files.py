@@ -46,11 +46,16 @@ def scan_tag(idx: Column) -> Column:
     return F.concat(F.lit(SCAN_TAG_PREFIX), idx.cast("string"))
 
 
-def frame_path(video_path: Column, tag: Column) -> Column:
-    """Where a frame is stored: a directory of its own beside the video."""
+def frame_prefix(video_path: Column) -> Column:
+    """What the frame files of a video share: a folder beside it and its stem."""
     stem = file_stem(video_path)
     return F.concat(parent_dir(video_path), F.lit(FRAME_DIR_PREFIX), stem, F.lit("/"),
-                    stem, F.lit("_"), tag, F.lit(FRAME_SUFFIX))
+                    stem, F.lit("_"))
+
+
+def frame_path(prefix: Column, tag: Column) -> Column:
+    """File of one frame."""
+    return F.concat(prefix, tag, F.lit(FRAME_SUFFIX))
 
 
 def image_type(path: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipquest.config import EvalConfig
@@ -93,14 +93,13 @@ def readable_frames(wanted: DataFrame, words: DataFrame, large: dict[int, int] |
             .drop("bits", "word"))
 
 
-def scan_frames(config: EvalConfig, readable="readable", total_frames="total_frames", fps="fps",
-                video_path="video_path"):
-    """Frames a linear scan keeps, as an array column of (t, idx, path)."""
+def scan_frames(config: EvalConfig) -> Column:
+    """Frames a linear scan keeps, as an array of (t, idx, path)."""
     want = frame_times.scan_count(config.frames_per_question, config.max_frames)
-    numbers = frame_times.scan_numbers(F.col(readable), F.col(total_frames), want)
+    numbers = frame_times.scan_numbers(F.col("readable"), F.col("total_frames"), want)
     return F.transform(numbers, lambda i: F.struct(
-        frame_times.scan_time(i, F.col(fps)).alias("t"), i.alias("idx"),
-        frame_files.frame_path(F.col(video_path), frame_files.scan_tag(i)).alias("path")))
+        frame_times.scan_time(i, F.col("fps")).alias("t"), i.alias("idx"),
+        frame_files.frame_path(F.col("prefix"), frame_files.scan_tag(i)).alias("path")))
 
 
 def select_frames(keys: DataFrame, facts: DataFrame, words: DataFrame, config: EvalConfig,
@@ -126,16 +125,16 @@ def select_frames(keys: DataFrame, facts: DataFrame, words: DataFrame, config: E
               .agg(F.sort_array(F.collect_list(F.when(
                   F.col("is_readable"), F.struct("t", "idx")))).alias("sought")))
 
-    path = F.col("video_path")
-    problem = F.concat(F.lit("RuntimeError: Cannot open video: "), path)
+    prefix = F.col("prefix")
+    problem = F.concat(F.lit("RuntimeError: Cannot open video: "), "video_path")
     if config.on_bad_video == "fail":
         problem = F.raise_error(problem).cast("string")
     found = F.transform("sought", lambda f: F.struct(
         f["t"].alias("t"), f["idx"].alias("idx"),
-        frame_files.frame_path(path, frame_files.seek_tag(f["t"])).alias("path")))
+        frame_files.frame_path(prefix, frame_files.seek_tag(f["t"])).alias("path")))
     grabbed = F.array(F.struct(
         F.lit(0.0).alias("t"), F.lit(0).cast("bigint").alias("idx"),
-        frame_files.frame_path(path, F.lit(frame_files.FIRST_FRAME_TAG)).alias("path")))
+        frame_files.frame_path(prefix, F.lit(frame_files.FIRST_FRAME_TAG)).alias("path")))
 
     tier = (F.when(~F.col("openable"), NO_FRAMES)
             .when(F.size("sought") > 0, SEEK)
@@ -146,7 +145,8 @@ def select_frames(keys: DataFrame, facts: DataFrame, words: DataFrame, config: E
               .when(F.col("tier") == SCAN, scan_frames(config))
               .when(F.col("tier") == FIRST_FRAME, grabbed)
               .otherwise(F.array()))
-    return (sought.withColumn("tier", tier)
+    return (sought.withColumns({"tier": tier,
+                                "prefix": frame_files.frame_prefix(F.col("video_path"))})
             .select(*KEY, ROWS, "video_path", "tier", frames.cast(FRAMES_TYPE).alias("frames"),
                     F.when(~F.col("openable"), problem).alias("frame_error")))
 

@@ -1,0 +1,196 @@
+import glob
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from clipquest.config import EvalConfig
+from clipquest.operators import inference
+from clipquest.operators.inference import BackendSpec, ask, choose_backend, spread_out
+from clipquest.operators.worker import ask_many
+
+STRICT, LENIENT = EvalConfig.strict(), EvalConfig.lenient()
+
+
+def items(spark, count, kind="Yes/No", frames=9, error=None):
+    df = spark.range(count).select(
+        F.col("id").alias("pos"), F.lit(kind).alias("question_type"),
+        F.concat(F.lit("Case #"), F.col("id").cast("string")).alias("question"),
+        F.lit("gold").alias("answer"), F.lit(error).cast("string").alias("frame_error"))
+    return df.withColumn("frames", F.array(*[
+        F.struct(F.lit(float(i)).alias("t"), F.lit(i).cast("bigint").alias("idx"),
+                 F.lit(f"f{i}").alias("path")) for i in range(frames)]))
+
+
+def scripted(replies, log=None):
+    """A backend that replies by the number of frames: all, six or none."""
+
+    def make():
+        import os
+        import uuid
+
+        def reply(request):
+            parts = [p for m in request["messages"] for p in m["content"]]
+            shown = sum(len(p["refs"]) for p in parts if p["refs"])
+            text = replies[{6: 1, 0: 2}.get(shown, 0)]
+            if isinstance(text, Exception):
+                raise text
+            return text
+
+        def backend(requests):
+            if log:
+                name = os.path.join(log, f"{os.getpid()}-{uuid.uuid4().hex}.json")
+                with open(name, "w") as out:
+                    json.dump([r["messages"][-1]["content"][-1]["text"] for r in requests], out)
+            return [reply(r) for r in requests]
+
+        return backend
+
+    return make
+
+
+LADDER = [
+    # replies of the three passes -> answer, raw, rationale
+    (["Yes. Because 1", "No", "No"], ("Yes", "Yes.", "Because 1")),
+    (["Hm. Because 1", "No. Because 2", "Yes"], ("No", "Hm.", "Because 1")),
+    (["Hm. Because 1", "Er. Because 2", "No. Because 3"], ("No", "No.", "Because 3")),
+    (["Hm. Because 1", "Er. Because 2", "Ah. Because 3"], ("", "Ah.", "Because 3")),
+    (["Hm. Because 1", "Er. Because 2", "Because 3"], ("", "Er.", "Because 2")),
+    (["Hm. Because 1", "Because 2", "Because 3"], ("", "Hm.", "Because 1")),
+    (["", "", ""], ("", "", "")),
+    ([ValueError("x"), "No", "No"], ("[ERROR]", "[ERROR] ValueError: x", "")),
+    (["Hm. Because 1", ValueError("x"), "No"], ("[ERROR]", "[ERROR] ValueError: x", "")),
+    (["Hm. Because 1", "Hm", KeyError("k")], ("[ERROR]", "[ERROR] KeyError: 'k'", "")),
+]
+
+
+@pytest.mark.parametrize("replies, expected", LADDER)
+def test_strict_retries(spark, replies, expected):
+    out = inference.answers(items(spark, 3), scripted(replies), STRICT).collect()
+    assert [tuple(r[c] for c in inference.PARSED_COLUMNS) for r in out] == [expected] * 3
+    assert {r["answer"] for r in out} == {"gold"}
+
+
+def test_lenient_retries_empty_text_once(spark):
+    out = inference.answers(items(spark, 2), scripted(["  ", "?", "No"]), LENIENT).collect()
+    assert {r["parsed_answer"] for r in out} == {"No"}
+    remote = EvalConfig.remote()
+    out = inference.answers(items(spark, 2), scripted(["  ", "?", "No"]), remote).collect()
+    assert {(r["parsed_answer"], r["parsed_raw"]) for r in out} == {("", "")}
+
+
+def test_preprocessing_failure_asks_the_bare_question(spark):
+    def make():
+        from clipquest.operators.worker import PreprocessError
+
+        def backend(requests):
+            if any(len(r["messages"][0]["content"]) > 1 for r in requests):
+                raise PreprocessError("too large")
+            return ["Yes: " + r["messages"][0]["content"][0]["text"] for r in requests]
+
+        return backend
+
+    row = inference.answers(items(spark, 1), make, STRICT).first()
+    assert row["parsed_raw"] == "Yes: Case #0\n\nConstraints: Answer strictly Yes or No."
+
+
+def test_one_bad_row_spoils_no_other(spark):
+    def make():
+        def backend(requests):
+            texts = [r["messages"][-1]["content"][-1]["text"] for r in requests]
+            if any("#3\n" in t for t in texts):
+                raise RuntimeError("bad frame")
+            return ["No"] * len(texts)
+
+        return backend
+
+    out = inference.answers(items(spark, 8).coalesce(1), make, STRICT).collect()
+    assert {r["pos"]: r["parsed_answer"] for r in out} == {
+        i: "[ERROR]" if i == 3 else "No" for i in range(8)}
+
+
+def test_rows_with_a_frame_error_are_not_asked(spark, tmp_path):
+    df = items(spark, 2, error="RuntimeError: Cannot open video: x")
+    row = inference.answers(df, scripted(["Yes"] * 3, str(tmp_path)), STRICT).first()
+    assert row["parsed_raw"] == "[ERROR] RuntimeError: Cannot open video: x"
+    assert not glob.glob(f"{tmp_path}/*.json")
+
+
+def calls(folder):
+    return [text for p in glob.glob(f"{folder}/*.json") for text in json.load(open(p))]
+
+
+def test_written_answers_call_the_model_once(spark, tmp_path):
+    out = inference.answers(items(spark, 40), scripted(["Yes"] * 3, str(tmp_path)), STRICT)
+    assert len(calls(tmp_path)) == 40
+    out.count(), out.collect(), out.filter("parsed_answer = 'Yes'").count()
+    assert len(calls(tmp_path)) == len(set(calls(tmp_path))) == 40
+
+
+def test_only_open_rows_are_asked_again(spark, tmp_path):
+    make_inner = scripted(["", "No", "No"], str(tmp_path))
+
+    def make():
+        inner = make_inner()
+
+        def backend(requests):
+            replies = inner(requests)
+            texts = [r["messages"][-1]["content"][-1]["text"] for r in requests]
+            return ["Yes" if int(t.split("#")[1].split("\n")[0]) % 4 else r
+                    for t, r in zip(texts, replies)]
+
+        return backend
+
+    out = inference.answers(items(spark, 40), make, STRICT)
+    assert out.filter("parsed_answer = 'No'").count() == 10
+    assert len(calls(tmp_path)) == 50
+
+
+def test_batches_and_model_loads(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def make():
+        import os
+        import uuid
+
+        open(os.path.join(folder, f"load-{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+
+        def backend(requests):
+            open(os.path.join(folder, f"call-{len(requests)}-{uuid.uuid4().hex}"), "w").close()
+            return ["Yes"] * len(requests)
+
+        return backend
+
+    df = items(spark, 25).coalesce(1)
+    asked = ask(df.withColumn("messages", inference.messages_for(STRICT, F.col("frames.path"))), make,
+                batch_size=10)
+    assert asked.filter("reply = 'Yes'").count() == 25
+    assert sorted(p.name.split("-")[1] for p in tmp_path.glob("call-*")) == ["10", "10", "5"]
+    asked.count()
+    processes = [p.name.split("-")[1] for p in tmp_path.glob("load-*")]
+    assert len(processes) == len(set(processes))
+
+
+def test_a_wrong_number_of_replies_is_an_error():
+    outcome = ask_many(lambda requests: ["Yes"] * 2, [{}, {}, {}])
+    assert outcome == [("Yes", None)] * 3  # asked again one by one, first reply taken
+    assert ask_many(lambda requests: [], [{}])[0][1].startswith("IndexError")
+
+
+def test_model_tasks_are_even(spark):
+    df = spread_out(items(spark, 4000).coalesce(1), 8, ["pos"])
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 700
+
+
+def test_backend_choice():
+    registry = {"local": BackendSpec(lambda options: lambda: options),
+                "remote": BackendSpec(lambda options: lambda: options, ("model", "api_key"))}
+    made = choose_backend(EvalConfig.strict(model_id="m"), registry)()
+    assert made == {"max_new_tokens": 256, "do_sample": False, "model_id": "m"}
+    with pytest.raises(ValueError, match="unknown backend"):
+        choose_backend(EvalConfig.strict(backend="other"), registry)
+    with pytest.raises(ValueError, match="needs model, api_key"):
+        choose_backend(EvalConfig.remote(), registry)
+    config = EvalConfig.remote().with_options(model="m", api_key="k")
+    assert choose_backend(config, registry)()["temperature"] == 0.0

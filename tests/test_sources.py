@@ -139,7 +139,7 @@ def test_unmatched_items_stay(spark, items):
     ("a.mov", "ff0", "_frames_a/a_ff0.jpg"),
 ])
 def test_frame_paths(spark, path, tag, expected):
-    assert spark.range(1).select(ff.frame_path(F.lit(path), F.lit(tag))).first()[0] == expected
+    assert spark.range(1).select(ff.frame_path(ff.frame_prefix(F.lit(path)), F.lit(tag))).first()[0] == expected
 
 
 def test_tags_round_half_to_even(spark):
