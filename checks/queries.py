@@ -16,7 +16,7 @@ from clipquest.operators import frames as frame_ops
 from clipquest.operators import inference, items
 from clipquest.operators.frame_index import frame_words, readable_prefix
 from clipquest.plans import evaluation
-from clipquest.session import ship_package
+from clipquest.session import materialize, ship_package
 from clipquest.sources import answers as answer_sink
 from clipquest.sources.assets import assets_from_paths
 from clipquest.sources.questions import explode_items, parse_items
@@ -454,7 +454,8 @@ def plan_keys(spark, sf_dir):
 
 @query
 def readable_prefixes(spark, sf_dir):
-    return readable_prefix(frame_words(table(spark, sf_dir, "frame_index")))
+    words = materialize(frame_words(table(spark, sf_dir, "frame_index")), "frame-words")
+    return readable_prefix(words)
 
 
 def _tables(spark, sf_dir) -> evaluation.VideoTables:

@@ -25,7 +25,11 @@ def bit_set(bits: Column, idx: Column) -> Column:
 
 
 def frame_words(frame_index: DataFrame) -> DataFrame:
-    """``(id, word, bits)``; repeated frames change nothing."""
+    """``(id, word, bits)``; repeated frames change nothing.
+
+    Store the result: it is read more than once, and Spark pushes different
+    filters into each reading, so it would not share a common scan.
+    """
     idx = F.col("idx")
     mark = F.call_function("shiftleft", F.lit(1).cast("bigint"),
                            F.pmod(idx, F.lit(WORD_BITS)).cast("int"))

@@ -24,13 +24,15 @@ class VideoTables:
 
     ``manifest(id, rel_path, in_subdir, ext)``, ``videos(id, fps,
     total_frames)``, ``frame_index(id, idx)`` and, optionally,
-    ``first_frame(id)``.
+    ``first_frame(id)``. ``words`` may be a stored result of ``frame_words``,
+    to reduce the frame index once for many runs.
     """
 
     manifest: DataFrame
     videos: DataFrame
     frame_index: DataFrame
     first_frame: DataFrame | None = None
+    words: DataFrame | None = None
 
 
 def stored_keys(hinted: DataFrame) -> DataFrame:
@@ -41,7 +43,9 @@ def stored_keys(hinted: DataFrame) -> DataFrame:
 def frames_of_keys(keys: DataFrame, tables: VideoTables, config: EvalConfig,
                    policy: SkewPolicy = SkewPolicy()) -> DataFrame:
     """Frames of each plan key; the video tables meet keys and not questions."""
-    words = frame_words(tables.frame_index)
+    words = tables.words
+    if words is None:
+        words = materialize(frame_words(tables.frame_index), "frame-words")
     facts = frame_ops.video_facts(best_assets(tables.manifest, config.videos_dir), tables.videos,
                                   first_frame=tables.first_frame, words=words)
     return frame_ops.select_frames(keys, facts, words, config, policy)
