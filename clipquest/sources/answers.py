@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +18,13 @@ def answered_json(item_json: Column, keys: tuple[str, ...] = RESULT_KEYS) -> Col
     Unknown keys keep their values and types. A result column that is NULL
     leaves the item as it is; one that is not replaces a key of its name.
     """
-    item = F.from_json(item_json, _MAP)
-    added = F.from_json(F.to_json(F.struct(*[F.col(k) for k in keys])), _MAP)
-    names = F.map_keys(added)
-    kept = F.map_filter(item, lambda k, _: ~F.array_contains(names, k))
+    entries = [x for k in keys for x in (F.lit(k), F.col(k).cast("variant"))]
+    added = F.map_filter(F.create_map(*entries), lambda _, value: value.isNotNull())
+
+    def is_replaced(name: Column) -> Column:
+        return reduce(or_, [(name == k) & F.col(k).isNotNull() for k in keys])
+
+    kept = F.map_filter(F.from_json(item_json, _MAP), lambda name, _: ~is_replaced(name))
     return F.to_json(F.map_concat(kept, added))
 
 
