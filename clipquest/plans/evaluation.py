@@ -16,6 +16,7 @@ from clipquest.operators.inference import PARSED_COLUMNS, answers, spread_out
 from clipquest.operators.items import valid_items, with_answers
 from clipquest.operators.skew import SkewPolicy
 from clipquest.session import materialize
+from clipquest.sources.frames import with_data_urls
 
 
 @dataclass(frozen=True)
@@ -60,33 +61,37 @@ def frame_table(items: DataFrame, tables: VideoTables, config: EvalConfig,
 
 def prepare(items: DataFrame, tables: VideoTables, config: EvalConfig,
             policy: SkewPolicy = SkewPolicy(), spread: tuple[str, ...] = ("pos",),
-            selected: DataFrame | None = None) -> DataFrame:
+            selected: DataFrame | None = None,
+            frame_files: DataFrame | None = None) -> DataFrame:
     """Valid items with their video path and frames, ready to be asked.
 
     The questions are reduced to their plan keys map side and shuffled whole
     only once, to get their frames. Pass ``selected`` to reuse a stored frame
-    table.
+    table, and ``frame_files(path, content)`` to send frames as data URLs; a
+    backend that can open the paths itself needs no image bytes in the shuffle.
     """
     hinted = frame_ops.with_hints(valid_items(items), config)
     keys = None
     if selected is None:
         keys = stored_keys(hinted)
         selected = frames_of_keys(keys, tables, config, policy)
+    if frame_files is not None:
+        selected = with_data_urls(selected, frame_files, frame_ops.KEY, config.frames_sent, policy)
     return frame_ops.attach_frames(hinted, selected, list(spread), keys, policy).drop("hints")
 
 
 def evaluate(items: DataFrame, tables: VideoTables, make_backend: Callable, config: EvalConfig,
              policy: SkewPolicy = SkewPolicy(), spread: tuple[str, ...] = ("pos",),
              partitions: int | None = None, selected: DataFrame | None = None,
-             **asking) -> DataFrame:
+             frame_files: DataFrame | None = None, **asking) -> DataFrame:
     """Answer every valid item.
 
     Model calls cost far more than bytes, so the rows are dealt out evenly over
     ``partitions`` tasks first; small joins would leave them in a few.
     """
-    prepared = prepare(items, tables, config, policy, spread, selected)
+    prepared = prepare(items, tables, config, policy, spread, selected, frame_files)
     prepared = spread_out(prepared, partitions, spread)
     answered = answers(prepared, make_backend, config, **asking)
     parsed = [F.col(f"parsed_{name}") for name in ("answer", "raw", "rationale")]
     shaped = with_answers(answered, *parsed, F.col("video_path"), config.keep_rationale)
-    return shaped.drop(*PARSED_COLUMNS, "frames", "tier", "frame_error")
+    return shaped.drop(*PARSED_COLUMNS, "frames", "tier", "frame_error", "urls")

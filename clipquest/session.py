@@ -46,9 +46,12 @@ def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame
     """Write a table once and go on from the written copy.
 
     Lineage ends here, so losing an executor later cannot run a model again.
+    Without a ``path`` the copy goes to a folder of this application, which can
+    be deleted when its results have been stored elsewhere.
     """
     spark = df.sparkSession
-    target = path or f"{scratch_dir(spark)}/clipquest/{label}-{uuid.uuid4().hex}"
+    home = f"{scratch_dir(spark)}/clipquest/{spark.sparkContext.applicationId}"
+    target = path or f"{home}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
 

@@ -12,15 +12,22 @@ from clipquest.session import materialize
 from clipquest.streaming.questions import answer_stream, read_question_stream
 
 
-def naming_backend():
+def naming_backend(decode=False):
     """A model that says Yes and names the frames it was shown."""
 
     def make():
+        import base64
+
+        def name(ref):
+            if decode:
+                ref = base64.b64decode(ref.removeprefix("data:image/jpeg;base64,")).decode()
+            return ref.rsplit("_", 1)[1]
+
         def backend(requests):
             out = []
             for request in requests:
                 parts = [p for m in request["messages"] for p in m["content"]]
-                refs = [r.rsplit("_", 1)[1] for p in parts if p["refs"] for r in p["refs"]]
+                refs = [name(r) for p in parts if p["refs"] for r in p["refs"]]
                 out.append("Yes. Because " + ",".join(refs))
             return out
 
@@ -93,6 +100,16 @@ def test_stored_frames_serve_several_runs(spark, items):
     assert sorted(again.collect(), key=str) == sorted(fresh.select(again.columns).collect(), key=str)
 
 
+def test_remote_frames_as_data_urls(spark, items):
+    config = EvalConfig.remote(videos_dir="r", frames_per_question=3)
+    files = spark.createDataFrame(
+        [(f"r/_frames_-a/-a_{t}.jpg", f"frame_{t}".encode()) for t in (8000, 10000, 12000)],
+        "path string, content binary")
+    rows = evaluation.evaluate(items.filter("pos < 1"), make_tables(spark), naming_backend(decode=True),
+                               config, frame_files=files).collect()
+    assert [r["model_rationale"] for r in rows] == ["Because 8000,10000,12000"]
+
+
 def test_question_rows_shuffle_once(spark, items):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
