@@ -110,15 +110,12 @@ def answered_json_items(spark, sf_dir):
     written = answer_sink.with_answered_json(
         _plain_answers(source).withColumn("item_json", raw))
 
-    def field(path: str) -> Column:
-        return F.get_json_object("answered_json", path)
-
-    return written.select(
-        "pos", field("$.id").alias("id"), field("$.question").alias("question"),
-        field("$.meta.n").cast("bigint").alias("meta_n"),
-        field("$.model_answer").alias("model_answer"), field("$.model_raw").alias("model_raw"),
-        field("$.model_rationale").alias("model_rationale"),
-        field("$.video_path").alias("video_path"))
+    read_back = F.from_json("answered_json", (
+        "id string, question string, meta struct<n: bigint>, model_answer string, "
+        "model_raw string, model_rationale string, video_path string"))
+    return written.select("pos", read_back.alias("r")).select(
+        "pos", "r.id", "r.question", F.col("r.meta.n").alias("meta_n"), "r.model_answer",
+        "r.model_raw", "r.model_rationale", "r.video_path")
 
 
 @query
