@@ -21,7 +21,7 @@ from clipquest.sources.frames import with_data_urls
 
 @dataclass(frozen=True)
 class VideoTables:
-    """What is known about the videos.
+    """What is known about the videos; ``videos`` has one row per id.
 
     ``manifest(id, rel_path, in_subdir, ext)``, ``videos(id, fps,
     total_frames)``, ``frame_index(id, idx)`` and, optionally,

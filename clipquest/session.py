@@ -24,7 +24,7 @@ def local_session(cores: int | str = "*", name: str = "clipquest", **settings) -
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
     for key, value in settings.items():
-        builder = builder.config(key.replace("__", "."), value)
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

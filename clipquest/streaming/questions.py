@@ -31,7 +31,8 @@ def answer_stream(items: DataFrame, answer: Callable[[DataFrame], DataFrame], ou
     """Write ``answer(batch)`` of every batch to a folder of its own under ``out``.
 
     A batch that is run again after a failure replaces its own folder, so no
-    answer is written twice.
+    answer is written twice. Give ``answer`` stored frame words
+    (``VideoTables.words``), or every batch reduces the whole frame index anew.
     """
 
     def write(batch: DataFrame, number: int) -> None:

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipquest.config import EvalConfig
+from clipquest.operators import frames
+from clipquest.operators.items import valid_items
 from clipquest.operators.skew import SkewPolicy
 from clipquest.plans import evaluation
 from clipquest.sources import answers, questions
@@ -124,6 +126,17 @@ def test_question_rows_shuffle_once(spark, items):
     assert questions_side.count("Exchange") == 1 and "FileScan text" in questions_side
 
 
+def test_plan_keys_read_little(spark, items, tmp_path):
+    items.write.parquet(str(tmp_path / "items"))
+    stored = questions.read_table(spark, str(tmp_path / "items"))
+    keys = frames.plan_keys(frames.with_hints(valid_items(stored), CONFIG))
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:string,question_type:string,question:string>" in plan
+    assert "PushedFilters: [IsNotNull(id), IsNotNull(question), IsNotNull(question_type), " in plan
+    assert plan.count("partial_count") == 1
+    assert [tuple(r) for r in keys.filter("id = 'zz'").collect()] == [("zz", [], 1)]
+
+
 def test_stream_of_files(spark, tmp_path):
     arriving = tmp_path / "in"
     arriving.mkdir()

@@ -188,6 +188,7 @@ def test_backend_choice():
                 "remote": BackendSpec(lambda options: lambda: options, ("model", "api_key"))}
     made = choose_backend(EvalConfig.strict(model_id="m"), registry)()
     assert made == {"max_new_tokens": 256, "do_sample": False, "model_id": "m"}
+    assert choose_backend(EvalConfig.strict(debug=True), registry)()["debug"] is True
     with pytest.raises(ValueError, match="unknown backend"):
         choose_backend(EvalConfig.strict(backend="other"), registry)
     with pytest.raises(ValueError, match="needs model, api_key"):

@@ -28,5 +28,13 @@ def test_query(spark, duck, name):
     assert rows > 0
 
 
+def test_differences_are_seen(spark, duck):
+    query = entry_points.queries()["yes_no_answers"]
+    _, problems = compare(spark, duck, SF_DIR, query, entry_points.oracle_sql()["true_false_answers"])
+    assert "rows differ" in problems[0]
+    sql = entry_points.oracle_sql()["yes_no_answers"] + " WHERE pos > 0"
+    assert "rows !=" in compare(spark, duck, SF_DIR, query, sql)[1][0]
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).limit(5).count() == 5
