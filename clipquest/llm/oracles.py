@@ -2,7 +2,32 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+# A line without the white space [\x20\x09-\x0D] at its ends, A-Z lower-cased.
+_KEY = ("translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), "
+        "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+LINE_DEDUP = f"""
+WITH numbered AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM {{docs}}),
+lines AS (
+    SELECT r, doc_id, pos, line, {_KEY} AS key FROM (
+        SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM numbered)),
+shared AS (
+    SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 40
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (
+    SELECT l.*, s.key IS NOT NULL AND l.doc_id < s.keeper AS gone
+    FROM lines l LEFT JOIN shared s ON l.key = s.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines,
+       count(*) FILTER (WHERE gone) AS n_dropped,
+       coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text, r
+FROM judged GROUP BY r"""
+
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": "SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM ("
+                      + LINE_DEDUP.format(docs="documents") + ")",
+}
 
 
 def all_oracles() -> dict[str, str]:

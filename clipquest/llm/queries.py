@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipquest.llm import bpe
+from clipquest.llm import bpe, line_dedup, lm_scoring
 from clipquest.llm import token_counts as counts
 from clipquest.session import ship_package
 
@@ -37,6 +37,17 @@ def public_file(name: str) -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+@query
+def op1_lm_scoring(spark, sf_dir):
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_line_dedup(spark, sf_dir):
+    kept = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query
 def op3_token_counts(spark, sf_dir):
     return counts.token_counts(table(spark, sf_dir, "documents"), public_file(PIECE_MODEL))
