@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipquest.llm import bpe, line_dedup, lm_scoring
+from clipquest.llm import bpe, jaccard_join, line_dedup, lm_scoring
 from clipquest.llm import token_counts as counts
 from clipquest.session import ship_package
 
@@ -62,3 +62,8 @@ def op6_byte_bpe(spark, sf_dir):
     return bpe.decode(encoded, ranks).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op9_ngram_jaccard(spark, sf_dir):
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents")).drop("text_hash")
