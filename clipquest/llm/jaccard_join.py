@@ -99,8 +99,8 @@ class Signatures:
         self.bands: list[tuple[int, int]] = []
 
     def band(self, size: int) -> int:
-        if not self.bands or self.bands[-1][1] < size:
-            self.bands = self.s.bands(2 * size)
+        if len(self.bands) < 2 or self.bands[-2][1] < size:
+            self.bands = self.s.bands(4 * size)
         return int(np.searchsorted([h for _, h in self.bands], size))
 
     def of(self, elements: np.ndarray) -> np.ndarray:
