@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipquest.llm import bpe, jaccard_join, line_dedup, lm_scoring
+from clipquest.llm import bpe, decontamination, jaccard_join, line_dedup, lm_scoring
 from clipquest.llm import token_counts as counts
 from clipquest.session import ship_package
 
@@ -64,6 +64,13 @@ def op6_byte_bpe(spark, sf_dir):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op8_decontamination(spark, sf_dir):
+    found = decontamination.find_passages(table(spark, sf_dir, "documents"),
+                                          table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 @query
 def op9_ngram_jaccard(spark, sf_dir):
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents")).drop("text_hash")
