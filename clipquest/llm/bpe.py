@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from clipquest.llm.rows import documents, text_slices, word_counts
+from clipquest.llm.rows import documents, most_frequent, text_slices, word_counts
 from clipquest.session import materialize
 
 # No match of the pattern spans such a space and what stands before it.
@@ -88,7 +88,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, frequent: int = 500_000)
     counted = word_counts(rows, chunks, "string", pre_tokens)
     words = materialize(counted.mapInArrow(encode_words, "word string, n bigint, ids binary"),
                         "pre-tokens")
-    head = words.orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids").toArrow()
+    head = most_frequent(words, frequent).toArrow().sort_by(
+        [("n", "descending"), ("word", "ascending")]).select(["word", "ids"])
     shared = spark.sparkContext.broadcast(
         (head.column(0).to_pylist(), head.column(1).to_pylist()))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipquest.llm.rows import (
-    NO_WORD, ascii_words, documents, fold, per_copy, word_counts)
+    NO_WORD, ascii_words, documents, fold, most_frequent, per_copy, word_counts)
 from clipquest.session import materialize
 
 
@@ -239,7 +239,8 @@ def score_documents(docs: DataFrame, config: LogBilinear = LogBilinear()) -> Dat
     words = materialize(word_counts(learned, ascii_words), "words")
     n_docs = learned.count()
 
-    head = words.orderBy(F.desc("n"), "word").limit(config.frequent).toArrow()
+    head = most_frequent(words, config.frequent).toArrow().sort_by(
+        [("n", "descending"), ("word", "ascending")])
     names, numbers = head.column(0).to_pylist(), np.array(head.column(1).to_pylist(), np.float64)
     own = names[:config.own]
     ending = F.substring("word", -2, 2)

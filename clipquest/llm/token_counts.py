@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipquest.llm.rows import NO_WORD, documents, per_copy, word_counts
+from clipquest.llm.rows import NO_WORD, documents, most_frequent, per_copy, word_counts
 from clipquest.session import materialize
 
 # A pre-token ends before a space that follows something else, and around a line
@@ -70,7 +70,7 @@ def token_counts(docs: DataFrame, model: bytes, limit: int = 4096, frequent: int
     """
     spark, rows = docs.sparkSession, documents(docs)
     words = materialize(piece_counts(word_counts(rows, pre_tokens, "string"), model), "pieces")
-    head = words.orderBy(F.desc("n"), "word").limit(frequent).select("word", "pieces").toArrow()
+    head = most_frequent(words, frequent).select("word", "pieces").toArrow()
     known = dict(zip(head.column(0).to_pylist(), head.column(1).to_pylist()))
     shared = spark.sparkContext.broadcast(known)
 
