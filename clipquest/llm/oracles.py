@@ -24,9 +24,26 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines,
        coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text, r
 FROM judged GROUP BY r"""
 
+# Base 32 of a SHA-1: five hexadecimal digits are four letters.
+_BASE32 = """array_to_string(list_transform(range(32), lambda k: substr(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(((('0x' || substr(h, 1 + 5 * (k // 4), 5))::INTEGER
+    >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '')"""
+
+WARC = f"""
+WITH hashed AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h
+    FROM pages),
+firsts AS (
+    SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first FROM hashed)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts"""
+
 ORACLES: dict[str, str] = {
     "op2_line_dedup": "SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM ("
                       + LINE_DEDUP.format(docs="documents") + ")",
+    "op10_warc": WARC,
 }
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipquest.llm import bpe, decontamination, jaccard_join, line_dedup, lm_scoring
+from clipquest.llm import bpe, decontamination, jaccard_join, line_dedup, lm_scoring, warc
 from clipquest.llm import token_counts as counts
-from clipquest.session import ship_package
+from clipquest.session import scratch_dir, ship_package
 
 PIECE_MODEL, BYTE_RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 
@@ -74,3 +75,11 @@ def op8_decontamination(spark, sf_dir):
 @query
 def op9_ngram_jaccard(spark, sf_dir):
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query
+def op10_warc(spark, sf_dir):
+    target = f"{scratch_dir(spark)}/clipquest/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), target)
+    return warc.read_archives(spark, target).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
