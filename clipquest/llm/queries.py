@@ -8,7 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipquest.llm import bpe, decontamination, jaccard_join, line_dedup, lm_scoring, warc
+from clipquest.llm import (
+    bpe, decontamination, jaccard_join, line_dedup, lm_scoring, quality_classifier, quality_rules,
+    toxicity, warc)
 from clipquest.llm import token_counts as counts
 from clipquest.session import scratch_dir, ship_package
 
@@ -54,6 +56,18 @@ def op3_token_counts(spark, sf_dir):
     return counts.token_counts(table(spark, sf_dir, "documents"), public_file(PIECE_MODEL))
 
 
+@query
+def op4_quality_rules(spark, sf_dir):
+    return quality_rules.judge_documents(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query
+def op5_quality_classifier(spark, sf_dir):
+    scored = quality_classifier.quality_scores(table(spark, sf_dir, "documents"),
+                                               table(spark, sf_dir, "labels"))
+    return scored.drop("text_hash")
+
+
 @query
 def op6_byte_bpe(spark, sf_dir):
     import public_tokenizers
@@ -65,6 +79,12 @@ def op6_byte_bpe(spark, sf_dir):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op7_toxicity(spark, sf_dir):
+    return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop(
+        "text_hash")
+
+
 @query
 def op8_decontamination(spark, sf_dir):
     found = decontamination.find_passages(table(spark, sf_dir, "documents"),

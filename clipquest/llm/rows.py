@@ -74,6 +74,9 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 2
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in SPACES]] = True
+# White space, and every ASCII character that is neither a letter nor a digit.
+NOT_ALPHANUMERIC = _IS_SPACE.copy()
+NOT_ALPHANUMERIC[:128] |= ~np.array([chr(i).isalnum() for i in range(128)])
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -98,8 +101,9 @@ def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def _hash_piece(data: np.ndarray, starts_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    space = _IS_SPACE[data]
+def _hash_piece(data: np.ndarray, starts_row: np.ndarray, breaks: np.ndarray
+                ) -> tuple[np.ndarray, np.ndarray]:
+    space = breaks[data]
     first = ~space
     first[1:] &= space[:-1] | starts_row[1:]
     begins = np.flatnonzero(first)
@@ -111,21 +115,23 @@ def _hash_piece(data: np.ndarray, starts_row: np.ndarray) -> tuple[np.ndarray, n
     return mix(np.add.reduceat(values, begins) * inverse[begins]), begins
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _IS_SPACE
+                ) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (A-Z lower-cased) and the first word of each row.
 
-    Long inputs are hashed in pieces that end at white space or at a row's end.
+    ``breaks`` says which bytes are no part of a word. Long inputs are hashed in
+    pieces that end at such a byte or at a row's end.
     """
     starts = np.zeros(len(data) + 1, bool)
     starts[offsets[:-1]] = True
     hashes, begins, low = [], [], 0
     while low < len(data):
         high = min(len(data), low + _PIECE)
-        while high < len(data) and not (_IS_SPACE[data[high]] or starts[high]):
+        while high < len(data) and not (breaks[data[high]] or starts[high]):
             window = data[high:high + _PIECE]
-            ends = np.flatnonzero(_IS_SPACE[window] | starts[high:high + len(window)])
+            ends = np.flatnonzero(breaks[window] | starts[high:high + len(window)])
             high = high + int(ends[0]) if len(ends) else high + len(window)
-        found, where = _hash_piece(data[low:high], starts[low:high])
+        found, where = _hash_piece(data[low:high], starts[low:high], breaks)
         hashes.append(found)
         begins.append(where + low)
         low = high
