@@ -316,10 +316,11 @@ def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame,
 
 
 def similar_documents(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, component_id`` of every row.
+    """``doc_id, text_hash, n_shingles, component_id, group`` of every row.
 
     ``component_id`` is the smallest id of a document that links lead to, itself
-    included. Texts are cut at white space and A-Z lower-cased; a text of fewer
+    included; ``group`` tells components apart, also those without an id, and is
+    null for texts without words. Texts are cut at white space and A-Z lower-cased; a text of fewer
     words than a shingle is one shingle; a null or empty text links with nothing.
     A null id takes the smallest id of its component, if any. Repeated rows each
     get a row; further columns are ignored; an empty table gives none.
@@ -340,7 +341,26 @@ def similar_documents(docs: DataFrame, similarity: Similarity = Similarity()) ->
     roots = components(links)
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = joined.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    of_node = joined.select("node", "root").join(lowest, "root").select("node", "component_id")
+    of_node = joined.select("node", "root").join(lowest, "root").select(
+        "node", "component_id", F.col("root").alias("group"))
     return sets.join(of_node, "node", "left").select(
         "doc_id", "text_hash", "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"))
+        F.coalesce("component_id", "doc_id").alias("component_id"), "group")
+
+
+def keep_one_each(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
+    """The rows of ``docs``, with their columns, that stand for their component.
+
+    That is the row of the smallest id, and of the smallest text hash under it;
+    of repeated rows one. Texts without words all stay.
+    """
+    key, text = F.coalesce("doc_id", F.lit(_NO_ID)), F.coalesce("text", F.lit(""))
+    wordless = ~text.rlike(r"[^\x20\x09-\x0D]")
+    # An id is better than none, then the smaller one.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), key.alias("_doc"),
+                           F.col("text_hash").alias("_text"))).alias("first")
+    chosen = similar_documents(docs, similarity).filter(F.col("group").isNotNull()).groupBy("group").agg(
+        first).select("first._doc", "first._text")
+    marked = docs.filter(~wordless).withColumn("_doc", key).withColumn("_text", F.xxhash64(text))
+    kept = marked.join(chosen.hint("shuffle_hash"), ["_doc", "_text"], "left_semi")
+    return kept.dropDuplicates(["_doc", "_text"]).drop("_doc", "_text").unionByName(docs.filter(wordless))

@@ -27,24 +27,26 @@ class OutlierRules:
     keep: float = 0.75
     steps: int = 4
     least: int = 200
-    cut: float = 60.0
-    floors: tuple[float, ...] = (0.5, 0.1, 0.02, 0.02, 0.05, 0.03, 0.03, 0.05)
+    cut: float = 100.0
+    floors: tuple[float, ...] = (0.5, 0.1, 0.02, 0.15, 0.1, 0.03, 0.03, 0.05)
 
 
 _SYMBOLS = ("#", "*", "$", "%", "&", "|", "<", ">")
-_LETTERS = np.zeros((3, 256), bool)
-_LETTERS[0, 65:91] = True                                     # capitals
-_LETTERS[1, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True  # marks
-_LETTERS[2, 48:58] = True                                     # digits
+# Capitals, punctuation and digits.
+_KINDS = np.zeros((3, 256), bool)
+_KINDS[0, 65:91] = True
+_KINDS[1, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_KINDS[2, 48:58] = True
 STATISTICS = 8
 
 
 def text_statistics(text: str) -> tuple[tuple[int, int, int, int, int], list[float]]:
     """Counts of the contract, and the transformed vector.
 
-    The vector: log of words; log of characters per word; square roots of shares:
-    symbols in characters, repeated lines, words in repeated windows; shares of
-    capitals, of ASCII punctuation and of digits in bytes, each as a square root.
+    The vector: log of words; log of characters per word; square root of the share
+    of symbols in characters; shares of repeated lines and of words in repeated
+    windows; square roots of the shares of capitals, ASCII punctuation and digits
+    in bytes.
     """
     words = raw_words(text)
     n, data = len(words), text.encode("utf-8", "surrogatepass")
@@ -54,10 +56,9 @@ def text_statistics(text: str) -> tuple[tuple[int, int, int, int, int], list[flo
     doubled = len(lines) - len(set(lines))
     repeated = repeated_words(words)
     codes = np.frombuffer(data, np.uint8)
-    shares = [_LETTERS[i][codes].sum() / max(1, len(codes)) for i in range(3)]
+    shares = [_KINDS[i][codes].sum() / max(1, len(codes)) for i in range(3)]
     vector = [np.log1p(n), np.log1p(chars / max(1, n)), np.sqrt(symbols / max(1, chars)),
-              np.sqrt(doubled / max(1, len(lines))), np.sqrt(repeated / max(1, n)),
-              *np.sqrt(shares)]
+              doubled / max(1, len(lines)), repeated / max(1, n), *np.sqrt(shares)]
     return (n, chars, symbols, doubled, repeated), vector
 
 

@@ -94,7 +94,8 @@ def op8_decontamination(spark, sf_dir):
 
 @query
 def op9_ngram_jaccard(spark, sf_dir):
-    return jaccard_join.similar_documents(table(spark, sf_dir, "documents")).drop("text_hash")
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents")).drop(
+        "text_hash", "group")
 
 
 @query

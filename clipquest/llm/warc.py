@@ -152,6 +152,8 @@ def write_archives(pages: DataFrame, target: str, config: ArchiveFormat = Archiv
     digests = rows.select("page_id", "bytes", F.sha1("html").alias("sha1"))
     firsts = digests.filter(F.col("bytes") >= config.revisit_bytes).groupBy("sha1", "bytes").agg(
         F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    # Written first: AQE splits hot payloads only where both sides come right from a shuffle.
+    firsts = materialize(firsts, "payloads")
     verdicts = digests.join(firsts, ["sha1", "bytes"]).filter(
         "first is not null and not (page_id <=> first)").select("page_id", "sha1", "first").distinct()
 
