@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by joins only."""
+"""Connected components of a table of links, by joins and sums only."""
 
 from __future__ import annotations
 
@@ -8,28 +8,45 @@ from pyspark.sql import functions as F
 from clipquest.session import materialize
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node`` and ``root``, the smallest node that links lead to; only nodes with links.
+def _flattened(tree: DataFrame) -> DataFrame:
+    """Lead each node to the end of its way of roots, in steps that double."""
+    while True:
+        up = tree.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        moved = materialize(tree.join(up, "root").select(
+            "node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "roots")
+        tree = moved.select("node", "root")
+        if moved.filter("moved").isEmpty():
+            return tree
+
 
-    Every round gives each node the smallest label among its neighbours and then
-    that label's own label, so a path of n links takes about log n rounds. Labels
-    are written after each round and nothing comes to the driver but one count.
+def components(links: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of links ``a, b``: the smallest node reached; only nodes with links.
+
+    A round leads each node to its smallest neighbour, if that is smaller, and on
+    to the end of that way, and then draws the links between those ends, without
+    repeats. A component at least halves its ends in a round, and links shrink with
+    them. Tables are written after each step; the driver learns only whether
+    anything is left.
     """
-    both = links.select(F.col(a).alias("node"), F.col(b).alias("other")).union(
-        links.select(F.col(b), F.col(a)))
-    edges = materialize(both.distinct(), "links")
-    labels = materialize(edges.groupBy("node").agg(
-        F.least(F.min("other"), F.col("node")).alias("root")), "labels")
-    while True:
-        near = edges.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(
-            F.min("root").alias("near"))
-        # A label's own label: one more jump along the way to the root.
-        lower = labels.join(near, "node").select(
-            "node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jumps = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        moved = lower.join(jumps, "root", "left").select(
-            "node", "old", F.least("root", F.coalesce("far", "root")).alias("root"))
-        moved = materialize(moved, "labels")
-        labels = moved.select("node", "root")
-        if moved.filter(F.col("root") != F.col("old")).isEmpty():
-            return labels
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    edges = materialize(links.filter("a != b").select(*ends).distinct(), "links")
+    roots = materialize(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).filter(
+        F.lit(False)), "roots")
+    first = True
+    while not edges.isEmpty():
+        near = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+        # Nodes that are the smaller end of each of their links are roots.
+        own = edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+        tree = _flattened(materialize(near.unionByName(own).groupBy("node").agg(
+            F.min("root").alias("root")), "roots"))
+        if first:
+            roots, first = tree, False
+        else:
+            later = tree.select(F.col("node").alias("root"), F.col("root").alias("later"))
+            roots = materialize(roots.join(later, "root", "left").select(
+                "node", F.coalesce("later", "root").alias("root")), "roots")
+        ra, rb = (tree.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+        drawn = edges.join(ra, "a").join(rb, "b").select(
+            F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        edges = materialize(drawn.filter("a != b").distinct(), "links")
+    return roots

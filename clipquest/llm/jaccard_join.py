@@ -154,11 +154,11 @@ def document_sets(docs: DataFrame, similarity: Similarity) -> DataFrame:
 
 
 def candidate_links(docs: DataFrame, similarity: Similarity) -> DataFrame:
-    """``a, b``: each set and the first set of a run of equal signatures; connects all candidates.
+    """``a, b``: links that join all sets that share signatures, directly or by way of others.
 
     Rows (signature, node) are range-partitioned by both, so a signature that
     very many sets share spreads over many partitions. A partition links the sets
-    of a signature to the first one there, and reports its first and last
+    of a signature to the first one there, unless they are joined already, and reports its first and last
     signature, which may go on in another partition; their first sets are linked
     in a second, small step.
     """
@@ -185,6 +185,7 @@ def candidate_links(docs: DataFrame, similarity: Similarity) -> DataFrame:
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signature, first, last, opened = None, None, None, True
         ends: list[tuple] = []
+        joined = _Forest()
         for batch in batches:
             out: list[tuple] = []
             for s, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -194,8 +195,9 @@ def candidate_links(docs: DataFrame, similarity: Similarity) -> DataFrame:
                         opened = False
                     signature, first, last = s, node, node
                 elif node != last:
-                    out.append((first, node, None))
                     last = node
+                    if joined.join(first, node):
+                        out.append((first, node, None))
             if out:
                 yield _links(out)
         if signature is not None:
@@ -219,6 +221,30 @@ def candidate_links(docs: DataFrame, similarity: Similarity) -> DataFrame:
     return found.filter("b is not null").select("a", "b").union(across).distinct()
 
 
+class _Forest:
+    """Which nodes links have joined so far; forgets when it has grown large."""
+
+    def __init__(self, most: int = 200_000):
+        self.up: dict[bytes, bytes] = {}
+        self.most = most
+
+    def _end(self, node: bytes) -> bytes:
+        up = self.up
+        while (above := up.get(node, node)) != node:
+            up[node] = up.get(above, above)
+            node = above
+        return node
+
+    def join(self, a: bytes, b: bytes) -> bool:
+        """Whether the link joins what was apart."""
+        if len(self.up) > self.most:
+            self.up.clear()
+        a, b = self._end(a), self._end(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
 def _linked(sets: list[np.ndarray], split: int, percent: int) -> list[tuple[int, int]]:
     """Links that join all linked sets of a group; across ``split`` only, if it isn't 0.
 
