@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.derived import as_cte
-from checks.queries import LENIENT, REMOTE, SPARSE, STRICT, VIDEOS_DIR
+from checks.queries import LENIENT, REMOTE, STRICT, VIDEOS_DIR
 from clipquest.config import EvalConfig
 from clipquest.functions import prompts
 
@@ -237,11 +237,11 @@ def _document_plan(config: EvalConfig) -> str:
 # Assets and frames
 
 _MANIFEST = r"""manifest AS (
-    SELECT CASE WHEN contains(rel_path, '/') THEN split_part(rel_path, '/', 1)
-                ELSE regexp_replace(rel_path, '\.[a-z0-9]+$', '') END AS id,
-      rel_path, contains(rel_path, '/') AS in_subdir, regexp_extract(rel_path, '\.([a-z0-9]+)$', 1) AS ext
-    FROM paths WHERE regexp_matches(rel_path, '\.(mp4|mkv|mov)$')
-      AND len(string_split(rel_path, '/')) <= 2)"""
+    SELECT *, regexp_extract(rel_path, '\.([a-z0-9]+)$', 1) AS ext FROM (
+      SELECT regexp_replace(rel_path, '\.[a-z0-9]+$', '') AS id, rel_path, false AS in_subdir FROM paths
+      UNION ALL
+      SELECT regexp_replace(rel_path, '/[^/]*$', ''), rel_path, true FROM paths WHERE contains(rel_path, '/'))
+    WHERE regexp_matches(rel_path, '\.(mp4|mkv|mov)$'))"""
 _BEST = f"""best AS (SELECT id, '{VIDEOS_DIR}/' || rel_path AS video_path FROM (
     SELECT *, row_number() OVER (PARTITION BY id ORDER BY in_subdir,
       CASE ext WHEN 'mp4' THEN 1 WHEN 'mkv' THEN 2 ELSE 3 END, rel_path) AS rn FROM manifest)
@@ -304,7 +304,7 @@ def _frame_rows(keep: str, source: str = "selected", where: str = "true") -> str
 
 
 def _tier(number: int) -> str:
-    return _with(_FRAME_TABLES, _frame_rows("id, hints", "chosen"), *_selected(SPARSE),
+    return _with(_FRAME_TABLES, _frame_rows("id, hints", "chosen"), *_selected(STRICT),
                  f"chosen AS (SELECT id, {_HINTS_TEXT} AS hints, frames FROM selected WHERE tier = {number})")
 
 
@@ -312,8 +312,8 @@ def _tier(number: int) -> str:
 
 _ASKABLE = f"""askable AS (SELECT *, pos % 23 AS frame_count,
     CASE WHEN pos % 29 = 0 THEN 'RuntimeError: Cannot open video: x' END AS frame_error
-    FROM questions WHERE contains(question, '#') AND {_COMPLETE})"""
-_CASE_NO = "(CAST(regexp_extract(question, '#([0-9]+)', 1) AS BIGINT))"
+    FROM questions WHERE {_COMPLETE})"""
+_CASE_NO = "(CAST(coalesce(nullif(regexp_extract(question, '#([0-9]+)', 1), ''), '3') AS BIGINT))"
 
 
 def _reply(shown: str, has_instruction: bool) -> str:
@@ -404,13 +404,21 @@ _OUT = """SELECT pos, id, question_type, question, answer, parsed_answer AS mode
     video_path FROM out"""
 
 
+def _lost(cap: int) -> str:
+    """The error of the first sent frame that has no file."""
+    lost = f"list_filter(frames[1:{cap}], lambda f: f.idx % 11 = 7)"
+    return f"coalesce(frame_error, 'FileNotFoundError: ' || ({lost})[1].path)"
+
+
 def _evaluation(config: EvalConfig) -> str:
-    asked = """asked AS (SELECT h.*, s.video_path, s.frame_error, coalesce(len(s.frames), 0) AS frame_count
-        FROM hinted h LEFT JOIN selected s ON s.id = h.id AND s.hints = h.hints WHERE h.question <> '   ')"""
+    error = _lost(config.frames_sent) if config.chat == "remote" else "frame_error"
+    asked = f"""asked AS (SELECT h.*, s.video_path, {error} AS frame_error, coalesce(len(s.frames), 0) AS frame_count
+        FROM hinted h LEFT JOIN selected s ON s.id = h.id AND s.hints = h.hints)"""
     if config.mode == "strict":
         passes = _strict_passes("asked", "frame_count", config.frames_sent, "pos")
     else:
-        passes = _lenient_passes("asked", "frame_count", config.frames_sent, True, False, "pos")
+        remote = config.chat == "remote"
+        passes = _lenient_passes("asked", "frame_count", config.frames_sent, not remote, remote, "pos")
     out = """out AS (SELECT a.*, d.parsed_answer, d.parsed_raw, d.parsed_rationale
         FROM asked a JOIN done d ON d.pos = a.pos)"""
     return _with(_FRAME_TABLES, _OUT, *_selected(config), asked, *passes, out)
@@ -524,10 +532,10 @@ def all_oracles() -> dict[str, str]:
         "scanned_frames": _tier(2),
         "grabbed_frames": _tier(3),
         "selected_frames": _with(_FRAME_TABLES, _frame_rows("id, hints, video_path, tier, frame_error", "chosen"),
-                                 *_selected(SPARSE), f"chosen AS (SELECT * REPLACE ({_HINTS_TEXT} AS hints) FROM selected)"),
+                                 *_selected(STRICT), f"chosen AS (SELECT * REPLACE ({_HINTS_TEXT} AS hints) FROM selected)"),
         "unopenable_videos": _with(_FRAME_TABLES, f"SELECT id, {_HINTS_TEXT} AS hints, frame_error FROM selected WHERE frame_error IS NOT NULL",
-                                   *_selected(SPARSE)),
-        "question_frames": _with(_FRAME_TABLES, _frame_rows("pos, id, video_path, tier", "chosen"), *_selected(SPARSE),
+                                   *_selected(STRICT)),
+        "question_frames": _with(_FRAME_TABLES, _frame_rows("pos, id, video_path, tier", "chosen"), *_selected(STRICT),
                                  """chosen AS (SELECT h.pos, h.id, s.video_path, s.tier, coalesce(s.frames, []) AS frames
                                  FROM hinted h LEFT JOIN selected s ON s.id = h.id AND s.hints = h.hints)"""),
         "strict_model_answers": _with(["questions"], _DONE, _ASKABLE, *_strict_passes(
@@ -536,6 +544,14 @@ def all_oracles() -> dict[str, str]:
             "askable", "frame_count", LENIENT.frames_sent, True, False, "pos")),
         "remote_model_answers": _with(["questions"], _DONE, _ASKABLE, *_lenient_passes(
             "askable", "frame_count", REMOTE.frames_sent, False, True, "pos")),
-        "strict_evaluation": _evaluation(SPARSE),
+        "strict_evaluation": _evaluation(STRICT),
         "lenient_evaluation": _evaluation(LENIENT),
+        "remote_evaluation": _evaluation(REMOTE),
+        "missing_frame_files": _with(_FRAME_TABLES, f"""
+            SELECT id, {_HINTS_TEXT} AS hints, {_lost(REMOTE.frames_sent)} AS frame_error,
+              CAST(len(list_filter(frames[1:{REMOTE.frames_sent}], lambda f: f.idx % 11 <> 7)) AS INTEGER) AS urls
+            FROM selected""", *_selected(REMOTE)),
+        "unparseable_items": """
+            SELECT doc_id, 0 AS pos, 'id,question,question_type' AS missing,
+              'not a JSON array' AS file_error FROM documents WHERE doc_id % 5 <= 2""",
     }

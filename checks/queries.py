@@ -19,14 +19,13 @@ from clipquest.plans import evaluation
 from clipquest.session import materialize, ship_package
 from clipquest.sources import answers as answer_sink
 from clipquest.sources.assets import assets_from_paths
+from clipquest.sources.frames import with_data_urls
 from clipquest.sources.questions import explode_items, parse_items
 
 VIDEOS_DIR = "videos"
 STRICT = EvalConfig.strict(videos_dir=VIDEOS_DIR)
 LENIENT = EvalConfig.lenient(videos_dir=VIDEOS_DIR)
 REMOTE = EvalConfig.remote(videos_dir=VIDEOS_DIR)
-# Few frames per question, so that scans and first frames are needed too.
-SPARSE = EvalConfig.strict(videos_dir=VIDEOS_DIR, max_frames=5, frames_per_question=3)
 
 _QUERIES = {}
 
@@ -74,6 +73,18 @@ def json_array_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("item_json", "$.extra").cast("bigint").alias("extra"))
 
 
+@query
+def unparseable_items(spark, sf_dir):
+    """Texts that hold no JSON array: cut off, a single object, or no JSON at all."""
+    whole = F.concat(F.lit("["), F.to_json(F.struct(F.col("text").alias("question"))), F.lit("]"))
+    text = (F.when(F.col("doc_id") % 5 == 0, F.left(whole, F.length(whole) - 2))
+            .when(F.col("doc_id") % 5 == 1, F.to_json(F.struct("text")))
+            .when(F.col("doc_id") % 5 == 2, F.concat(F.lit("no list: "), "text")).otherwise(whole))
+    found = explode_items(table(spark, sf_dir, "documents").select("doc_id", text.alias("t")), "t")
+    return items.rejected_items(found.filter(F.col("file_error").isNotNull())).select(
+        "doc_id", "pos", "missing", "file_error")
+
+
 @query
 def json_line_items(spark, sf_dir):
     """Items of one JSON object per line."""
@@ -277,7 +288,8 @@ def answer_types(spark, sf_dir):
 
 
 def _typed(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "type_names").filter(F.col("question_type").isNotNull())
+    names = table(spark, sf_dir, "type_names").withColumn("id", F.lit("any"))
+    return items.valid_items(names).drop("id")
 
 
 @query
@@ -438,7 +450,7 @@ def resolved_videos(spark, sf_dir):
     return asset_ops.resolve_videos(valid, found, ["pos"]).select("pos", "id", "video_path")
 
 
-def _keys(spark, sf_dir, config: EvalConfig = SPARSE) -> DataFrame:
+def _keys(spark, sf_dir, config: EvalConfig = STRICT) -> DataFrame:
     valid = items.valid_items(table(spark, sf_dir, "questions"))
     return frame_ops.plan_keys(frame_ops.with_hints(valid, config))
 
@@ -461,7 +473,7 @@ def _tables(spark, sf_dir) -> evaluation.VideoTables:
         table(spark, sf_dir, "frame_index"), table(spark, sf_dir, "first_frame"))
 
 
-def _selected(spark, sf_dir, config: EvalConfig = SPARSE) -> DataFrame:
+def _selected(spark, sf_dir, config: EvalConfig = STRICT) -> DataFrame:
     return evaluation.frame_table(table(spark, sf_dir, "questions"), _tables(spark, sf_dir),
                                   config)
 
@@ -499,10 +511,24 @@ def unopenable_videos(spark, sf_dir):
             .select("id", _hints_text().alias("hints"), "frame_error"))
 
 
+def _frame_files(selected: DataFrame) -> DataFrame:
+    """A file for each frame of these plans, but for every eleventh frame number."""
+    paths = selected.select(F.explode("frames").alias("f")).filter("f.idx % 11 <> 7").select("f.path")
+    return paths.distinct().withColumn("content", F.encode("path", "utf-8"))
+
+
+@query
+def missing_frame_files(spark, sf_dir):
+    """Plans with the number of their data URLs, and the first file that is not there."""
+    chosen = materialize(_selected(spark, sf_dir, REMOTE), "frames")
+    found = with_data_urls(chosen, _frame_files(chosen), frame_ops.KEY, REMOTE.frames_sent)
+    return found.select("id", _hints_text().alias("hints"), F.size("urls").alias("urls"), "frame_error")
+
+
 @query
 def question_frames(spark, sf_dir):
     """The frames of each question, one row per frame."""
-    prepared = evaluation.prepare(table(spark, sf_dir, "questions"), _tables(spark, sf_dir), SPARSE)
+    prepared = evaluation.prepare(table(spark, sf_dir, "questions"), _tables(spark, sf_dir), STRICT)
     return _frames_rows(prepared, "pos", "id", "video_path", "tier")
 
 
@@ -510,8 +536,7 @@ def question_frames(spark, sf_dir):
 
 def _askable(spark, sf_dir) -> DataFrame:
     ship_package(spark, Path(__file__).parent)
-    asked = inference.spread_out(items.valid_items(table(spark, sf_dir, "questions").filter(
-        F.col("question").contains("#"))), None, ["pos"])
+    asked = items.valid_items(table(spark, sf_dir, "questions"))
     return _with_paths(asked.withColumn("frame_count", F.col("pos") % 23)).withColumn(
         "frame_error", F.when(F.col("pos") % 29 == 0, "RuntimeError: Cannot open video: x")
     ).drop("frame_count")
@@ -536,10 +561,14 @@ def remote_model_answers(spark, sf_dir):
     return _answered(inference.answers(_askable(spark, sf_dir), tagged_backend, REMOTE))
 
 
-def _evaluated(spark, sf_dir, config: EvalConfig) -> DataFrame:
+# The backends that a configuration may name.
+BACKENDS = {name: inference.BackendSpec(lambda options: tagged_backend) for name in ("local", "remote")}
+
+
+def _evaluated(spark, sf_dir, config: EvalConfig, **frames) -> DataFrame:
     ship_package(spark, Path(__file__).parent)
-    asked = table(spark, sf_dir, "questions").filter(F.col("question") != "   ")
-    done = evaluation.evaluate(asked, _tables(spark, sf_dir), tagged_backend, config)
+    done = evaluation.evaluate(table(spark, sf_dir, "questions"), _tables(spark, sf_dir), BACKENDS,
+                               config, **frames)
     return done.select("pos", "id", "question_type", "question", "answer", "model_answer",
                        "model_raw", "model_rationale", "video_path")
 
@@ -547,10 +576,17 @@ def _evaluated(spark, sf_dir, config: EvalConfig) -> DataFrame:
 @query
 def strict_evaluation(spark, sf_dir):
     """Everything together, strict rules."""
-    return _evaluated(spark, sf_dir, SPARSE)
+    return _evaluated(spark, sf_dir, STRICT)
 
 
 @query
 def lenient_evaluation(spark, sf_dir):
     """Everything together, lenient rules."""
     return _evaluated(spark, sf_dir, LENIENT)
+
+
+@query
+def remote_evaluation(spark, sf_dir):
+    """Everything together, with frames as data URLs; some frame files are missing."""
+    chosen = materialize(_selected(spark, sf_dir, REMOTE), "frames")
+    return _evaluated(spark, sf_dir, REMOTE, selected=chosen, frame_files=_frame_files(chosen))

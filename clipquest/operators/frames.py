@@ -162,4 +162,7 @@ def attach_frames(hinted: DataFrame, selected: DataFrame, spread: list[str],
     large = large_keys(selected if keys is None else keys, KEY, policy)
     joined = lookup_join(hinted, selected.drop(ROWS), KEY, spread=spread, how="left",
                          large=large, policy=policy)
-    return joined.withColumn("frames", F.coalesce("frames", F.array().cast(FRAMES_TYPE)))
+    joined = joined.withColumn("frames", F.coalesce("frames", F.array().cast(FRAMES_TYPE)))
+    if "urls" in joined.columns:
+        joined = joined.withColumn("urls", F.coalesce("urls", F.array().cast("array<string>")))
+    return joined

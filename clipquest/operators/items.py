@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 REQUIRED = ("id", "question", "question_type")
 
 
+def item_key(items: DataFrame) -> tuple[str, ...]:
+    """The columns that tell items apart and order them: ``pos`` restarts in each source."""
+    return tuple(c for c in ("source", "offset", "pos") if c in items.columns)
+
+
 def is_complete(*columns: str) -> Column:
     """All required fields present and non-empty; whitespace counts as text."""
     return reduce(and_, [F.coalesce(F.col(name), F.lit("")) != ""

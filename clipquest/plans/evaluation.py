@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +12,10 @@ from clipquest.config import EvalConfig
 from clipquest.operators import frames as frame_ops
 from clipquest.operators.assets import best_assets
 from clipquest.operators.frame_index import frame_words
-from clipquest.operators.inference import PARSED_COLUMNS, answers, spread_out
-from clipquest.operators.items import valid_items, with_answers
-from clipquest.operators.skew import SkewPolicy
+from clipquest.operators.inference import (PARSED_COLUMNS, BackendSpec, Dealing, answers,
+                                           choose_backend)
+from clipquest.operators.items import item_key, valid_items, with_answers
+from clipquest.operators.skew import ROWS, SkewPolicy
 from clipquest.session import materialize
 from clipquest.sources.frames import with_data_urls
 
@@ -60,7 +61,7 @@ def frame_table(items: DataFrame, tables: VideoTables, config: EvalConfig,
 
 
 def prepare(items: DataFrame, tables: VideoTables, config: EvalConfig,
-            policy: SkewPolicy = SkewPolicy(), spread: tuple[str, ...] = ("pos",),
+            policy: SkewPolicy = SkewPolicy(), spread: tuple[str, ...] | None = None,
             selected: DataFrame | None = None,
             frame_files: DataFrame | None = None) -> DataFrame:
     """Valid items with their video path and frames, ready to be asked.
@@ -69,29 +70,41 @@ def prepare(items: DataFrame, tables: VideoTables, config: EvalConfig,
     only once, to get their frames. Pass ``selected`` to reuse a stored frame
     table, and ``frame_files(path, content)`` to send frames as data URLs; a
     backend that can open the paths itself needs no image bytes in the shuffle.
+    ``spread`` tells items apart, by default by their key.
     """
     hinted = frame_ops.with_hints(valid_items(items), config)
     keys = None
     if selected is None:
         keys = stored_keys(hinted)
         selected = frames_of_keys(keys, tables, config, policy)
+        if frame_files is not None:
+            selected = materialize(selected, "frames")
     if frame_files is not None:
         selected = with_data_urls(selected, frame_files, frame_ops.KEY, config.frames_sent, policy)
+    spread = spread or item_key(items)
     return frame_ops.attach_frames(hinted, selected, list(spread), keys, policy).drop("hints")
 
 
-def evaluate(items: DataFrame, tables: VideoTables, make_backend: Callable, config: EvalConfig,
-             policy: SkewPolicy = SkewPolicy(), spread: tuple[str, ...] = ("pos",),
-             partitions: int | None = None, selected: DataFrame | None = None,
-             frame_files: DataFrame | None = None, **asking) -> DataFrame:
+def evaluate(items: DataFrame, tables: VideoTables,
+             backend: Callable | dict[str, BackendSpec], config: EvalConfig,
+             policy: SkewPolicy = SkewPolicy(), dealing: Dealing = Dealing(),
+             selected: DataFrame | None = None, frame_files: DataFrame | None = None,
+             **asking) -> DataFrame:
     """Answer every valid item.
 
-    Model calls cost far more than bytes, so the rows are dealt out evenly over
-    ``partitions`` tasks first; small joins would leave them in a few.
+    ``backend`` makes a model, or is a registry from which the configuration's
+    ``backend``, ``model_id``, ``backend_options`` and ``debug`` choose one.
+    Model calls cost far more than bytes, so every pass deals its rows out evenly.
     """
-    prepared = prepare(items, tables, config, policy, spread, selected, frame_files)
-    prepared = spread_out(prepared, partitions, spread)
-    answered = answers(prepared, make_backend, config, **asking)
+    make_backend = choose_backend(config, backend) if isinstance(backend, dict) else backend
+    dealing = replace(dealing, by=dealing.by or item_key(items))
+    rows = None
+    if selected is None:
+        keys = stored_keys(frame_ops.with_hints(valid_items(items), config))
+        selected = materialize(frames_of_keys(keys, tables, config, policy), "frames")
+        rows = keys.agg(F.sum(ROWS)).first()[0] or 0
+    prepared = prepare(items, tables, config, policy, dealing.by, selected, frame_files)
+    answered = answers(prepared, make_backend, config, dealing=dealing, rows=rows, **asking)
     parsed = [F.col(f"parsed_{name}") for name in ("answer", "raw", "rationale")]
     shaped = with_answers(answered, *parsed, F.col("video_path"), config.keep_rationale)
     return shaped.drop(*PARSED_COLUMNS, "frames", "tier", "frame_error", "urls")

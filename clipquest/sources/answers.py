@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from clipquest.operators.items import item_key
+
 RESULT_KEYS = ("model_answer", "model_raw", "model_rationale", "video_path")
 _MAP = "map<string, variant>"
 
@@ -15,9 +17,26 @@ _MAP = "map<string, variant>"
 def answered_json(item_json: Column, keys: tuple[str, ...] = RESULT_KEYS) -> Column:
     """The input item with the result keys set.
 
-    Unknown keys keep their values and types. A result column that is NULL
-    leaves the item as it is; one that is not replaces a key of its name.
+    The keys are put in before the closing brace, so everything else stays as it
+    is written. A result column that is NULL leaves the item as it is; one that is
+    not replaces a key of its name. For that, items that already hold such a key
+    are parsed and written anew. In an item with a repeated key the last value
+    holds, as in most parsers, and the result keys come last.
     """
+    item = F.rtrim(item_json, F.lit(" \t\r\n"))
+    names = F.json_object_keys(item_json)
+    present = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in keys]))
+    body = F.substr(F.to_json(F.struct(*keys)), F.lit(2))
+    spliced = F.concat(F.left(item, F.length(item) - 1), F.when(F.size(names) > 0, ",").otherwise(""), body)
+    unique = F.size(names) == F.size(F.array_distinct(names))
+    return (F.when(names.isNull(), None)
+            .when(F.size(present) == 0, item_json)
+            .when(unique & F.arrays_overlap(names, present), _written_anew(item_json, keys))
+            .otherwise(spliced))
+
+
+def _written_anew(item_json: Column, keys: tuple[str, ...]) -> Column:
+    """The same through a map of values, without the keys that are replaced."""
     entries = [x for k in keys for x in (F.lit(k), F.col(k).cast("variant"))]
     added = F.map_filter(F.create_map(*entries), lambda _, value: value.isNotNull())
 
@@ -36,28 +55,42 @@ def with_answered_json(results: DataFrame) -> DataFrame:
     return results.withColumn("answered_json", F.to_json(F.struct(*fields, *RESULT_KEYS)))
 
 
-def write_json_lines(results: DataFrame, path: str) -> None:
-    """One answered item per line, in as many files as there are partitions."""
-    with_answered_json(results).select(F.col("answered_json").alias("value")).write.text(path)
+def _counted(rows: DataFrame, write) -> int:
+    """Write the rows and count them on the way."""
+    written = Observation()
+    write(rows.observe(written, F.count(F.lit(1)).alias("rows")))
+    return written.get["rows"]
+
+
+def write_json_lines(results: DataFrame, path: str) -> int:
+    """One answered item per line, in as many files as there are partitions; how many."""
+    lines = with_answered_json(results).select(F.col("answered_json").alias("value"))
+    return _counted(lines, lambda rows: rows.write.text(path))
 
 
-def write_parquet(results: DataFrame, path: str) -> None:
-    results.write.parquet(path)
+def write_parquet(results: DataFrame, path: str) -> int:
+    return _counted(results, lambda rows: rows.write.parquet(path))
 
 
-def write_json_array(results: DataFrame, path: str, order: tuple[str, ...] = ("pos",)) -> None:
-    """Text parts that, put one after another by name, are one JSON array.
+def write_json_array(results: DataFrame, path: str, order: tuple[str, ...] | None = None) -> int:
+    """Text parts that, put one after another by name, are one JSON array; how many items.
 
-    The rows are range-partitioned by ``order``, which must be unique, so no
-    task sees the whole array. Every element but the first opens with a comma;
-    the brackets go to the first and the last row.
+    The rows are range-partitioned by ``order``, by default the items' key, so no
+    task sees the whole array. Rows that repeat it are refused before anything is
+    written. Every element but the first opens with a comma; the brackets go to
+    the first and the last row. ``results`` are read more than once, so pass a
+    stored table.
     """
+    order = tuple(order or item_key(results))
     rows = with_answered_json(results).select(*order, "answered_json")
     key = F.struct(*order)
-    ends = rows.agg(F.min(key).alias("first"), F.max(key).alias("last")).first()
+    repeated = results.groupBy(*order).count().filter("count > 1").first()
+    if repeated is not None:
+        raise ValueError(f"{repeated['count']} rows have the key {tuple(repeated)[:-1]}")
+    ends = results.agg(F.min(key).alias("first"), F.max(key).alias("last")).first()
     if ends["first"] is None:
         results.sparkSession.createDataFrame([("[]",)], "value string").write.text(path)
-        return
+        return 0
 
     def at(end) -> Column:
         same = F.lit(True)
@@ -67,4 +100,5 @@ def write_json_array(results: DataFrame, path: str, order: tuple[str, ...] = ("p
 
     line = F.concat(F.when(at(ends["first"]), "[").otherwise(","), "answered_json",
                     F.when(at(ends["last"]), "]").otherwise(""))
-    rows.orderBy(*order).select(line.alias("value")).write.text(path)
+    lines = rows.orderBy(*order).select(line.alias("value"))
+    return _counted(lines, lambda rows: rows.write.text(path))

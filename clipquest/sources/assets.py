@@ -8,22 +8,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipquest.operators.assets import VIDEO_EXTENSIONS
+from clipquest.session import materialize
 
 MANIFEST_SCHEMA = "id string, rel_path string, in_subdir boolean, ext string"
-_ONE_LEVEL = r"\A(?:([^/]+)/)?([^/]*)\.({})\z".format("|".join(VIDEO_EXTENSIONS))
+_VIDEO = r"\A(.*)\.({})\z".format("|".join(VIDEO_EXTENSIONS))
 
 
 def assets_from_paths(paths: DataFrame, rel_path: Column | str = "rel_path") -> DataFrame:
     """Manifest of paths relative to the video root, such as a storage inventory.
 
-    Keeps lower-case video extensions in the root or one folder below it. Names
-    that start with ``_`` or ``.`` stay, unlike in Spark's own file listings.
+    A path serves the id that is its name without the extension, folders included,
+    and the id that is its folder. Extensions are lower-case video extensions.
+    Names that start with ``_`` or ``.`` stay, unlike in Spark's own file listings.
     """
     rel = F.col(rel_path) if isinstance(rel_path, str) else rel_path
-    folder, name, ext = (F.regexp_extract(rel, _ONE_LEVEL, i) for i in (1, 2, 3))
-    return (paths.filter(rel.rlike(_ONE_LEVEL))
-            .select(F.when(folder == "", name).otherwise(folder).alias("id"),
-                    rel.alias("rel_path"), (folder != "").alias("in_subdir"), ext.alias("ext"))
+    stem, ext = (F.regexp_extract(rel, _VIDEO, i) for i in (1, 2))
+    folder = F.regexp_extract(rel, r"\A(.+)/[^/]*\z", 1)
+    serves = F.explode(F.array(
+        F.struct(F.when(~F.endswith("stem", F.lit("/")), F.col("stem")).alias("id"),
+                 F.lit(False).alias("in_subdir")),
+        F.struct(F.nullif("folder", F.lit("")).alias("id"), F.lit(True).alias("in_subdir"))))
+    return (paths.filter(rel.rlike(_VIDEO))
+            .select(rel.alias("rel_path"), stem.alias("stem"), folder.alias("folder"), ext.alias("ext"))
+            .select("rel_path", "ext", serves.alias("s"))
+            .select("s.id", "rel_path", "s.in_subdir", "ext")
             .filter(F.col("id") != ""))
 
 
@@ -35,7 +43,9 @@ def scan_assets(spark: SparkSession, root: str, parallelism: int | None = None)
     """
     names = spark.createDataFrame([(root,)], "folder string").mapInPandas(
         _list_folder, "rel_path string, is_dir boolean")
-    names = names.repartition(parallelism or spark.sparkContext.defaultParallelism, "rel_path")
+    # Stored, as files and folders are taken from it in turn.
+    names = materialize(names, "names").repartition(
+        parallelism or spark.sparkContext.defaultParallelism, "rel_path")
     top = names.filter(~F.col("is_dir")).select("rel_path")
     below = (names.filter("is_dir")
              .select(F.concat(F.lit(root.rstrip("/") + "/"), "rel_path").alias("folder"),

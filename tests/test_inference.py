@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from clipquest.config import EvalConfig
 from clipquest.operators import inference
-from clipquest.operators.inference import BackendSpec, ask, choose_backend, spread_out
-from clipquest.operators.worker import ask_many
+from clipquest.operators.inference import BackendSpec, Dealing, ask, choose_backend
+from clipquest.operators.worker import PreprocessError, ask_many
 
 STRICT, LENIENT = EvalConfig.strict(), EvalConfig.lenient()
 
@@ -173,14 +173,62 @@ def test_batches_and_model_loads(spark, tmp_path):
 
 def test_a_wrong_number_of_replies_is_an_error():
     outcome = ask_many(lambda requests: ["Yes"] * 2, [{}, {}, {}])
-    assert outcome == [("Yes", None)] * 3  # asked again one by one, first reply taken
-    assert ask_many(lambda requests: [], [{}])[0][1].startswith("IndexError")
+    assert outcome == [(None, "ValueError: 2 replies to 1 requests"), ("Yes", None), ("Yes", None)]
+    assert ask_many(lambda requests: [], [{}])[0][1] == "ValueError: 0 replies to 1 requests"
+    assert ask_many(lambda requests: ["a", "b"], [{}])[0][1] == "ValueError: 2 replies to 1 requests"
+
+
+def test_only_failed_requests_are_asked_again():
+    asked = []
+
+    def returning(requests):
+        asked.extend(r["n"] for r in requests)
+        return [ValueError("x") if r["n"] == 5 else "Yes" for r in requests]
+
+    outcome = [o for i in (0, 32) for o in ask_many(returning, [{"n": n} for n in range(i, i + 32)])]
+    assert len(asked) == 64 and outcome[5] == (None, "ValueError: x")
+    assert outcome[:5] + outcome[6:] == [("Yes", None)] * 63
+    asked.clear()
+
+    def raising(requests):
+        asked.extend(r["n"] for r in requests)
+        if any(r["n"] == 5 for r in requests):
+            raise ValueError("x")
+        return ["Yes"] * len(requests)
+
+    assert ask_many(raising, [{"n": n} for n in range(32)]) == outcome[:32]
+    assert len(asked) == 32 + 2 * (16 + 8 + 4 + 2 + 1)
+
+
+def test_a_returned_preprocessing_error_asks_the_bare_question():
+    def backend(requests):
+        return ["bare" if r["messages"] == "b" else PreprocessError("too large") for r in requests]
+
+    requests = [{"messages": "a", "bare_messages": "b"}, {"messages": "a", "bare_messages": None}]
+    assert ask_many(backend, requests) == [("bare", None), (None, "PreprocessError: too large")]
 
 
 def test_model_tasks_are_even(spark):
-    df = spread_out(items(spark, 4000).coalesce(1), 8, ["pos"])
+    df = Dealing(partitions=8).deal(items(spark, 4000).coalesce(1))
     sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 700
+    assert Dealing(rows_per_task=100).deal(df, 4000).rdd.getNumPartitions() == 40
+    assert Dealing(rows_per_task=100).deal(df).rdd.getNumPartitions() == 40
+
+
+def test_items_of_many_sources_fill_all_tasks(spark):
+    few = items(spark, 5).crossJoin(spark.range(40).select(F.col("id").cast("string").alias("source")))
+    sizes = Dealing(partitions=64).deal(few).groupBy(F.spark_partition_id()).count().count()
+    assert sizes >= 55  # 200 rows over 64 tasks
+
+
+def test_every_pass_is_dealt_out(spark, monkeypatch):
+    seen = []
+    deal = Dealing.deal
+    monkeypatch.setattr(Dealing, "deal", lambda self, df, rows=None: seen.append(
+        deal(self, df, rows)) or seen[-1])
+    inference.answers(items(spark, 300), scripted(["", "", ""]), STRICT, dealing=Dealing(partitions=6))
+    assert [df.rdd.getNumPartitions() for df in seen] == [6, 6, 6]
 
 
 def test_backend_choice():
