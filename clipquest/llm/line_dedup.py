@@ -54,7 +54,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     first = ranged.groupBy("h1", "h2", "doc").agg(F.min("pos").alias("pos"))
     keys = first.groupBy("h1", "h2").agg(
         F.count("*").alias("docs"), F.max("doc").alias("keeper")).filter(F.col("docs") >= min_docs)
-    dropped = lines.join(keys.select("h1", "h2", "keeper"), ["h1", "h2"]).filter("doc < keeper")
+    # Written first: AQE splits hot keys only where both sides come right from a shuffle.
+    keys = materialize(keys.select("h1", "h2", "keeper"), "shared-lines")
+    dropped = lines.join(keys, ["h1", "h2"]).filter("doc < keeper")
     bits = dropped.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     return bits.select("doc", "text_hash", _runs(F.col("gone")).alias("runs"))
 
