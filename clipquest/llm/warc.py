@@ -11,7 +11,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil
 
 import pyarrow as pa
 from pyarrow import fs
@@ -103,27 +102,42 @@ def _pages(pages: DataFrame) -> DataFrame:
                         F.octet_length(html).cast("bigint").alias("bytes"))
 
 
-def _shards(rows: DataFrame, config: ArchiveFormat) -> tuple[list[int], int, int]:
-    """First cell of each shard, the smallest id, and the ids per cell.
+def _first_ids(sizes: DataFrame, config: ArchiveFormat) -> list[int]:
+    """The first id of each shard but the first.
 
-    Ids are put in at most ``cells`` cells of equal width, and neighbouring cells
-    are taken together up to ``shard_bytes``; so shards follow from the rows
-    alone, not from a sample. Rows without an id go to the last shard.
+    Ids are put in at most ``cells`` cells of equal width; those that hold more
+    than a shard are cut into finer ones, all in one job, until none does or it
+    is a single id. Neighbouring cells are taken together up to a shard. So
+    shards follow from the rows alone, not from a sample, however ids are spread.
+    A shard has ``shard_bytes``, or more where there would be over ``cells`` shards.
     """
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
+    size = F.sum(F.col("bytes") + 512)
+    low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), size).first()
     if low is None:
-        return [0], 0, 1
-    width = ceil((high - low + 1) / config.cells)
-    cell = F.floor((F.col("page_id") - F.lit(low)) / F.lit(width))
-    sizes = rows.filter("page_id is not null").groupBy(cell.alias("cell")).agg(
-        F.sum(F.col("bytes") + 512).alias("bytes")).collect()
-    starts, filled = [0], 0
-    for c, size in sorted(tuple(r) for r in sizes):
-        if filled and filled + size > config.shard_bytes:
-            starts.append(c)
+        return []
+    target = max(config.shard_bytes, total // config.cells)
+    width = 1 << max(0, ((high - low) // config.cells).bit_length())
+
+    def cell(step: int):
+        return F.floor((F.col("page_id") - F.lit(low)) / F.lit(step)).cast("bigint")
+
+    rows, found = sizes.filter("page_id is not null"), []
+    while True:
+        cells = [tuple(r) for r in rows.groupBy(cell(width).alias("cell")).agg(size).collect()]
+        large = [c for c, held in cells if held > target and width > 1]
+        found += [(low + c * width, held) for c, held in cells if held <= target or width == 1]
+        if not large:
+            break
+        wanted = sizes.sparkSession.createDataFrame([(c,) for c in large], "cell bigint")
+        rows = sizes.withColumn("cell", cell(width)).join(F.broadcast(wanted), "cell", "left_semi")
+        width = max(1, width >> max(4, (config.cells // len(large)).bit_length() - 1))
+    starts, filled = [], 0
+    for first, held in sorted(found):
+        if filled and filled + held > target:
+            starts.append(first)
             filled = 0
-        filled += size
-    return starts, low, width
+        filled += held
+    return starts
 
 
 def write_archives(pages: DataFrame, target: str, config: ArchiveFormat = ArchiveFormat()) -> DataFrame:
@@ -149,7 +163,7 @@ def write_archives(pages: DataFrame, target: str, config: ArchiveFormat = Archiv
     left out. Further columns are ignored. An empty table gives a manifest of no files.
     """
     spark, rows = pages.sparkSession, _pages(pages)
-    digests = rows.select("page_id", "bytes", F.sha1("html").alias("sha1"))
+    digests = materialize(rows.select("page_id", "bytes", F.sha1("html").alias("sha1")), "digests")
     firsts = digests.filter(F.col("bytes") >= config.revisit_bytes).groupBy("sha1", "bytes").agg(
         F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     # Written first: AQE splits hot payloads only where both sides come right from a shuffle.
@@ -157,20 +171,15 @@ def write_archives(pages: DataFrame, target: str, config: ArchiveFormat = Archiv
     verdicts = digests.join(firsts, ["sha1", "bytes"]).filter(
         "first is not null and not (page_id <=> first)").select("page_id", "sha1", "first").distinct()
 
-    starts, low, width = _shards(rows, config)
-    bounds = F.array(*(F.lit(low + c * width) for c in starts[1:])) if len(starts) < 2000 else None
-    if bounds is not None:
-        shard = F.size(F.filter(bounds, lambda b: b <= F.col("page_id"))) if starts[1:] else F.lit(0)
-    else:
-        shard = _shard_of([low + c * width for c in starts[1:]])(F.col("page_id"))
-    last = len(starts) - 1
-    placed = F.when(F.col("page_id").isNull(), last).otherwise(shard).cast("int").alias("shard")
+    firsts_of = _first_ids(digests, config)
+    placed = F.when(F.col("page_id").isNull(), len(firsts_of)).otherwise(
+        _shard_of(firsts_of)).cast("int").alias("shard")
     both = rows.select(placed, "page_id", F.lit(1).alias("kind"), "url", "html",
                        F.lit(None).cast("string").alias("sha1"), F.lit(None).cast("bigint").alias("first")
                        ).unionByName(verdicts.select(
                            placed, "page_id", F.lit(0).alias("kind"), "sha1", "first"),
                            allowMissingColumns=True)
-    dealt = both.repartitionById(len(starts), F.col("shard")).sortWithinPartitions(
+    dealt = both.repartitionById(len(firsts_of) + 1, F.col("shard")).sortWithinPartitions(
         "shard", F.asc_nulls_last("page_id"), "kind", "url", F.xxhash64("html"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,18 +268,22 @@ def _typed(write):
     return typed
 
 
-def _shard_of(bounds: list[int]):
-    """Shard numbers by binary search, for very many shards."""
+def _shard_of(first_ids: list[int]):
+    """The number of first ids up to ``page_id``; by binary search where there are many."""
+    if not first_ids:
+        return F.lit(0)
+    if len(first_ids) <= 64:
+        return F.size(F.filter(F.array(*map(F.lit, first_ids)), lambda first: first <= F.col("page_id")))
     import numpy as np
     import pandas as pd
 
-    edges = np.array(bounds)
+    edges = np.array(first_ids)
 
     @F.pandas_udf("int")
     def shard(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edges, ids.fillna(0), "right").astype("int32"))
 
-    return shard
+    return shard("page_id")
 
 
 def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
