@@ -15,13 +15,14 @@ _KEY, _SLICES, _SLICE, ROWS = "_hot_key", "_hot_slices", "_slice", "_rows"
 class SkewPolicy:
     """Keys with more than ``rows_per_slice`` rows are split over several slices.
 
-    At most ``max_hot_keys`` keys are split, so the list of them stays a few
-    thousand pairs of numbers whatever the data. A key left out holds fewer than
-    ``1 / max_hot_keys`` of all rows.
+    Where there could be over ``max_hot_keys`` such keys, the limit is raised to
+    that share of all rows; every key above it is split, so none is left out and
+    the list of them, pairs of numbers, has a bounded size. No slice holds more
+    rows than the limit, but for the chance of the hash that deals them.
     """
 
     rows_per_slice: int = 1_000_000
-    max_hot_keys: int = 4096
+    max_hot_keys: int = 100_000
 
 
 def rows_per_key(df: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -33,13 +34,14 @@ def large_keys(counts: DataFrame, on: Sequence[str], policy: SkewPolicy = SkewPo
                growth: int = 1) -> dict[int, int]:
     """Hashes and row counts of the largest keys; runs a job over ``counts``.
 
-    Only keys that exceed a slice after growing ``growth``-fold are returned,
-    and never more than the policy allows.
+    Only keys that exceed a slice after growing ``growth``-fold are returned;
+    there cannot be more of them than the policy allows.
     """
-    over = counts.filter(F.col(ROWS) > policy.rows_per_slice // growth)
-    top = over.orderBy(F.desc(ROWS)).limit(policy.max_hot_keys)
+    total = counts.agg(F.sum(ROWS)).first()[0] or 0
+    limit = max(policy.rows_per_slice // growth, -(-total // policy.max_hot_keys))
+    over = counts.filter(F.col(ROWS) > limit)
     found: dict[int, int] = {}
-    for key, rows in top.select(F.xxhash64(*on), ROWS).collect():
+    for key, rows in over.select(F.xxhash64(*on), ROWS).collect():
         found[key] = found.get(key, 0) + rows
     return found
 

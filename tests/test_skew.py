@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from clipquest.operators.skew import (SkewPolicy, large_keys, lookup_join, only_keys, rows_per_key)
 
-POLICY = SkewPolicy(rows_per_slice=100, max_hot_keys=3)
+POLICY = SkewPolicy(rows_per_slice=100, max_hot_keys=30)
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +32,21 @@ def test_hot_keys_are_bounded_and_counted(sides):
     left, _ = sides
     large = large_keys(rows_per_key(left, ["key"]), ["key"], POLICY)
     assert list(large.values()) == [1000]
-    assert len(large_keys(rows_per_key(left, ["key"]), ["key"], POLICY, growth=10)) == 3
+    fine = SkewPolicy(rows_per_slice=100, max_hot_keys=1000)
+    assert len(large_keys(rows_per_key(left, ["key"]), ["key"], fine, growth=10)) == 41
+    coarse = SkewPolicy(rows_per_slice=1, max_hot_keys=5)
+    assert list(large_keys(rows_per_key(left, ["key"]), ["key"], coarse).values()) == [1000]
+
+
+def test_every_hot_key_is_split(spark):
+    """However many there are: no slice holds more than its share."""
+    left = spark.range(6000 * 20).select((F.col("id") % 6000).alias("key"), F.col("id").alias("pos"))
+    policy = SkewPolicy(rows_per_slice=10)
+    large = large_keys(rows_per_key(left, ["key"]), ["key"], policy)
+    assert len(large) == 6000
+    right = spark.range(6000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
+    joined = lookup_join(left, right, ["key"], spread=["pos"], large=large, policy=policy)
+    assert joined.filter("value = key * 2").count() == 120_000
 
 
 def test_a_hot_key_meets_several_tasks(spark, sides):
