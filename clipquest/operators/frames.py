@@ -35,12 +35,14 @@ def video_facts(assets: DataFrame, videos: DataFrame, frame_index: DataFrame | N
     """Everything known per video id, one row each.
 
     All inputs are keyed by id, so the joins share one partitioning. A file
-    without a row in ``videos`` cannot be opened.
+    without a row in ``videos`` cannot be opened; of several rows of an id the one
+    with the most frames counts.
     """
     if words is None:
         words = frame_words(frame_index)
+    known = videos.groupBy("id").agg(F.max(F.struct("total_frames", "fps")).alias("video"))
     facts = (assets
-             .join(videos.select("id", "fps", "total_frames", F.lit(True).alias("openable")),
+             .join(known.select("id", "video.fps", "video.total_frames", F.lit(True).alias("openable")),
                    "id", "left")
              .join(readable_prefix(words), "id", "left"))
     if first_frame is not None:

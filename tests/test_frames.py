@@ -32,8 +32,9 @@ def random_videos(seed, count):
 
 def tables(spark, videos, index, first):
     assets = spark.createDataFrame([(v, f"r/{v}.mp4") for v in videos], "id string, video_path string")
-    table = spark.createDataFrame([(v, *x) for v, x in videos.items()],
-                                  "id string, fps double, total_frames bigint")
+    # A video listed twice, once with fewer frames, is one video.
+    listed = [(v, *x) for v, x in videos.items()] + [(v, 7.0, x[1] - 1) for v, x in videos.items()]
+    table = spark.createDataFrame(listed, "id string, fps double, total_frames bigint")
     # Every frame twice: the index is a set.
     rows = [(v, i) for v, ids in index.items() for i in ids] * 2
     words = frame_words(spark.createDataFrame(rows, "id string, idx bigint"))
