@@ -24,7 +24,8 @@ class SpacedSeeds:
     many tokens before and after a hit are checked.
     """
 
-    masks: tuple[str, ...] = ("11111111", "110110101101", "111010010111", "1101000110111")
+    masks: tuple[str, ...] = ("11111111", "11111011111", "110110101101", "111010010111",
+                              "1101000110111")
     min_overlap: int = 13
     percent: int = 80
     around: int = 64
@@ -161,16 +162,19 @@ def document_hits(docs: DataFrame, filtered: np.ndarray, config: SpacedSeeds) ->
 
 
 def best_overlap(equal: np.ndarray, percent: int) -> tuple[int, int, int]:
-    """Start, length and equal tokens of the best-scored stretch of an alignment.
+    """Start, length and equal tokens of the longest stretch with ``percent`` % of equal ones.
 
-    An equal token scores ``100 - percent`` and another ``-percent``, so the
-    stretch has at least ``percent`` % of equal tokens.
+    An equal token scores ``100 - percent`` and another ``-percent``, so such a
+    stretch scores 0 or more. Its ends are then drawn in to equal tokens.
     """
     score = np.concatenate([[0], np.cumsum(np.where(equal, 100 - percent, -percent))])
-    lowest = np.minimum.accumulate(score)
-    end = int(np.argmax(score - lowest))
-    begin = int(np.flatnonzero(score[:end + 1] == lowest[end])[-1])
-    return begin, end - begin, int(equal[begin:end].sum())
+    # For each end the first start that has not scored more so far.
+    starts = np.searchsorted(-np.minimum.accumulate(score), -score, "left")
+    end = int(np.argmax(np.arange(len(score)) - starts))
+    inside = np.flatnonzero(equal[starts[end]:end]) + int(starts[end])
+    if not len(inside):
+        return 0, 0, 0
+    return int(inside[0]), int(inside[-1] - inside[0]) + 1, len(inside)
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, config: SpacedSeeds = SpacedSeeds()
