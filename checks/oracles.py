@@ -132,8 +132,27 @@ def _case(key: str, table: dict[str, str], default: str) -> str:
     return f"CASE {key} {whens} ELSE {_q(default)} END"
 
 
-_DIRECTIVE = _case("question_type", prompts.DIRECTIVES, prompts.DEFAULT_DIRECTIVE)
-_INSTRUCTION = _case("question_type", prompts.INSTRUCTIONS, prompts.DEFAULT_INSTRUCTION)
+# The fixed texts and type lists once more, so that a wrong one shows.
+_WHY = " Then add one short sentence rationale starting with 'Because'."
+_GUESS = " If unsure, guess the most likely."
+_YES_NO = f"Answer strictly with Yes or No.{_GUESS}{_WHY}"
+_DIRECTIVE = _case("question_type", {
+    "Timestamp": "Answer strictly with a timestamp in HH:MM:SS.",
+    "True/False": "Answer strictly True or False.",
+    "Yes/No": "Answer strictly Yes or No."}, "Answer concisely.")
+_INSTRUCTION = _case("question_type", {
+    "Hypothetical": _YES_NO, "Identity Confirmation": _YES_NO,
+    "Identity Confirmation (Validation)": _YES_NO, "Yes/No": _YES_NO,
+    "Multiple Choice Question (MCQ)":
+        f"Answer strictly with the letter of the correct option (e.g., A, B, C, or D).{_WHY}",
+    "Timestamp": "Answer strictly with a timestamp in HH:MM:SS. If no clear answer, return the most "
+                 f"plausible timestamp in HH:MM:SS.{_WHY}",
+    "True/False": f"Answer strictly with True or False.{_GUESS}{_WHY}"}, f"Answer concisely.{_WHY}")
+_YES_NO_KINDS = ["Clothing-change tracking", "Cross-view matching", "Identity Confirmation",
+                 "Identity Confirmation (Validation)", "Identity Confirmation (Validation, Yes/No)",
+                 "Temporal continuity", "Temporal-appearance drift", "Yes/No"]
+_FREE_KINDS = ["Activity-based", "Comparative", "Cross-modal", "Descriptive Identification",
+               "Environment-linked", "Group-context based", "Hypothetical", "Interaction-based"]
 _C = "chr(10) || chr(10) || 'Constraints: '"
 _DIRECTED = f"(question || {_C} || {_DIRECTIVE})"
 _STRICT_TEXT = f"({_DIRECTED} || {_C} || {_INSTRUCTION})"
@@ -145,11 +164,11 @@ def _by_kind(yes_no, true_false, timestamp, option, described, other) -> str:
     def names(values):
         return "(" + ", ".join(map(_q, values)) + ")"
 
-    return (f"CASE WHEN {_KIND} IN {names(prompts.FREE_TEXT_TYPES)} THEN {_q(described)} "
+    return (f"CASE WHEN {_KIND} IN {names(_FREE_KINDS)} THEN {_q(described)} "
             f"WHEN {_KIND} LIKE '%Multiple Choice Question%' OR {_KIND} LIKE '%MCQ%' THEN {_q(option)} "
             f"WHEN {_KIND} = 'Timestamp' THEN {_q(timestamp)} "
             f"WHEN {_KIND} = 'True/False' THEN {_q(true_false)} "
-            f"WHEN {_KIND} IN {names(prompts.YES_NO_TYPES)} THEN {_q(yes_no)} ELSE {_q(other)} END")
+            f"WHEN {_KIND} IN {names(_YES_NO_KINDS)} THEN {_q(yes_no)} ELSE {_q(other)} END")
 
 
 _ANSWER_TYPE = _by_kind("yes_no", "yes_no", "timestamp", "mcq_option", "free_text", "free_text")

@@ -80,10 +80,12 @@ class PromptTexts:
     )
     closing: str = "Use only what the frames show and keep to the JSON rules above."
     remote_system: str = (
-        "You answer questions about a video from its key frames. Rely on visible evidence "
-        "and keep identities consistent. Times in the question say where the frames come "
-        "from. Keep to the requested form and end with one short sentence that starts "
-        "with 'Because'."
+        "Task: answer one question about a clip that is shown as stills in time order; a time "
+        "in the question marks the part they were taken from.\n"
+        "Evidence: nothing but the stills, in which a person or thing stays the same one "
+        "throughout.\n"
+        "Form: the answer in the shape asked for, then a single sentence that opens with "
+        "'Because' and names what settles it."
     )
     yes_no: str = "\"answer\" is exactly \"Yes\" or \"No\"."
     true_false: str = "\"answer\" is exactly \"True\" or \"False\"."
