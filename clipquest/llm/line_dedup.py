@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipquest.llm.rows import SPACES, documents
@@ -43,15 +43,16 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     below all others. Repeated rows lose the same lines.
 
     Hashes are range-partitioned by key and document, so one key's lines may
-    spread over many partitions, and sorted by document, largest first, and
-    position. One pass gives each document's occurrence of a key. Counts and
+    spread over many partitions, and sorted there by key, document and position.
+    A window streams over them, without a further shuffle, and passes on the first
+    occurrence of a key in each document. Counts and
     largest documents of keys are added up before they are shuffled, so hot keys
     are cheap; the join back splits hot keys when it runs (AQE).
     """
     lines = materialize(line_hashes(docs, min_chars), "lines")
-    ranged = lines.repartitionByRange("h1", "h2", "doc").sortWithinPartitions(
-        "h1", "h2", F.desc("doc"), "pos")
-    first = ranged.groupBy("h1", "h2", "doc").agg(F.min("pos").alias("pos"))
+    ranged = lines.repartitionByRange("h1", "h2", "doc")
+    place = F.row_number().over(Window.partitionBy("h1", "h2", "doc").orderBy("pos"))
+    first = ranged.withColumn("place", place).filter("place = 1")
     keys = first.groupBy("h1", "h2").agg(
         F.count("*").alias("docs"), F.max("doc").alias("keeper")).filter(F.col("docs") >= min_docs)
     # Written first: AQE splits hot keys only where both sides come right from a shuffle.
