@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipquest.llm.rows import NO_WORD, documents, most_frequent, per_copy, word_counts
+from clipquest.llm.rows import documents, most_frequent, per_copy, word_counts
 from clipquest.session import materialize
 
 # A pre-token ends before a space that follows something else, and around a line
