@@ -105,7 +105,7 @@ def _unpack(data: bytes) -> tuple[list[int], list[bytes]]:
     return np.cumsum(columns[:n]).tolist(), [body[i:j] for i, j in zip(starts.tolist(), ends.tolist())]
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, frequent: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, frequent: int = 200_000) -> DataFrame:
     """``doc_id``, ``text_hash``, ``n_tokens`` and ``ids`` (unsigned 32-bit, little-endian) per row.
 
     ``ranks`` is the content of a rank file; every match of ``pattern`` is encoded
@@ -193,7 +193,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, frequent: int = 300_000)
             out = []
             for data in batch.column(2):
                 slots, words = _unpack(data.as_py())
-                if len(seen) > 400_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 for word in words:
                     if word not in seen:

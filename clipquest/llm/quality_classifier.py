@@ -24,7 +24,7 @@ class QualityModel:
 
     gram: int = 4
     bits: int = 18
-    sample: int = 20_000
+    sample: int = 10_000
     repeats: tuple[float, ...] = (0.0, 0.01, 0.03, 0.1, 0.3)
     cost: float = 1.0
     rounds: int = 12
@@ -53,14 +53,16 @@ def dual_coordinate_descent(rows: Rows, signs: np.ndarray, ratio: np.ndarray, co
     cost; rows of the rarer class cost as much in total as those of the other.
     """
     weights, bias = np.zeros(len(ratio)), 0.0
-    scales = [r / max(np.linalg.norm(r), 1e-12) for r in (ratio[f] for f in rows)]
-    norms = np.array([s @ s + 1.0 for s in scales])
+    lengths = np.array([max(np.linalg.norm(ratio[f]), 1e-12) for f in rows])
+    norms = np.array([(np.linalg.norm(ratio[f]) / n) ** 2 + 1.0 for f, n in zip(rows, lengths)])
     share = np.where(signs > 0, (signs > 0).mean(), (signs < 0).mean())
     cost = config.cost * 0.5 / share
     dual, random = np.zeros(len(rows)), np.random.default_rng(5)
     for _ in range(config.rounds):
         for i in random.permutation(len(rows)):
-            features, values, sign = rows[i], scales[i], signs[i]
+            # Scaled values are worked out again each time; only features are kept.
+            features, sign = rows[i], signs[i]
+            values = ratio[features] / lengths[i]
             gradient = sign * (weights[features] @ values + bias) - 1
             new = min(max(dual[i] - gradient / norms[i], 0.0), cost[i])
             if new != dual[i]:
