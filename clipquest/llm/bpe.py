@@ -148,7 +148,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, frequent: int = 200_000)
         """Key, rows, lengths and numbers of each block, and its words that are not frequent."""
         get = known.value.get
         for batch in batches:
-            for part, _, _ in text_slices(batch):
+            for part, _, _ in text_slices(batch, limit=1 << 20):
                 ids, hashes = part.column(0).to_pylist(), part.column(2).to_pylist()
                 key = hashlib.blake2b(repr((ids, hashes)).encode(), digest_size=16).digest()
                 own: dict[str, int] = {}

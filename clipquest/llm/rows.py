@@ -48,7 +48,7 @@ def raw_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 18
                 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of some ``limit`` bytes: rows, their UTF-8 bytes and the offsets of each row."""
     names = batch.schema.get_field_index(column)
@@ -81,7 +81,7 @@ _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
