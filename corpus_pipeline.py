@@ -13,6 +13,8 @@ from clipquest.session import materialize, ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 RANKS = "byte_bpe_50k.tiktoken"
+# Near copies of the corpus; the query op9_ngram_jaccard has its own parameters.
+NEAR = jaccard_join.Similarity(words=5, percent=80)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +35,9 @@ def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: five-word shingles, a similarity of 80 %."""
     ship_package(spark)
-    return jaccard_join.keep_one_each(docs).select(*COLUMNS)
+    return jaccard_join.keep_one_each(docs, NEAR).select(*COLUMNS)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -164,6 +164,30 @@ def brute_in_order(rows):
     return out
 
 
+def brute_representatives(rows, n, percent):
+    """Lowest ids of the components of rows whose n-word shingles link."""
+    sets = [set(zip(*(t.lower().split()[i:] for i in range(n)))) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= percent * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    return {min(rows[k][0] for k in range(len(rows)) if group[k] == g) for g in group}
+
+
+def test_near_copies_of_the_pipeline(spark, make):
+    rows = []
+    for i in range(12):
+        text = words(3000 + i, 200)
+        copy = list(text)
+        for place in range(20, 200, 200 // (1 + i))[:1 + i]:
+            copy[place] = "edit"
+        rows += [(10 * i, " ".join(text)), (10 * i + 1, " ".join(copy))]
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, make(rows), "").collect()}
+    assert kept == brute_representatives(rows, 5, 80)
+    assert len(kept) < len(brute_representatives(rows, 3, 90))
+
+
 def test_empty_tables(spark, folder, make, tmp_path):
     where = str(tmp_path)
     make([]).write.parquet(f"{where}/documents.parquet")
