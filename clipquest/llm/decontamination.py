@@ -14,6 +14,10 @@ from clipquest.llm.rows import documents, mix, text_slices, word_hashes
 from clipquest.session import materialize
 
 
+# Items of fewer tokens may not differ at all.
+_WHOLE = 5
+
+
 @dataclass(frozen=True)
 class SpacedSeeds:
     """Masks say which of consecutive tokens count (1) and which may differ (0).
@@ -22,19 +26,35 @@ class SpacedSeeds:
     ``min_overlap`` tokens (or a whole shorter item) and ``percent`` % of them are
     equal. ``filter_bits`` is the size of the broadcast filter, ``around`` how
     many tokens before and after a hit are checked.
+
+    At 80 % some of ``masks`` fits into every passage of 13 to 25 tokens, wherever
+    its unequal ones are, and a longer passage can be cut into such lengths, one of
+    which has 80 % equal too. ``short_masks`` do the same for whole items of 5 to 12
+    tokens. Still shorter ones are searched for by all their tokens, and items of
+    fewer than ``shortest`` tokens not at all.
     """
 
-    masks: tuple[str, ...] = ("11111111", "11111011111", "110110101101", "111010010111",
-                              "1101000110111")
+    masks: tuple[str, ...] = ("11101111", "11010010111", "111110011", "1100100010111",
+                              "1110101001001", "1111111")
+    short_masks: tuple[str, ...] = ("11011", "10111", "11101", "1111")
     min_overlap: int = 13
     percent: int = 80
     around: int = 64
     filter_bits: int = 1 << 24
+    shortest: int = 6
 
     @property
-    def shortest(self) -> int:
-        """Items of fewer tokens hold no seed and are not searched for."""
-        return min(len(m) for m in self.masks)
+    def every(self) -> tuple[str, ...]:
+        return (*self.masks, *self.short_masks, *("1" * n for n in range(1, _WHOLE)))
+
+    def numbers(self, size: int) -> list[int]:
+        """Which of ``every`` are for an item of ``size`` tokens."""
+        short, whole = len(self.masks), len(self.masks) + len(self.short_masks)
+        if size < self.shortest or not size:
+            return []
+        if size >= self.min_overlap:
+            return list(range(short))
+        return list(range(short, whole)) if size >= _WHOLE else [whole + size - 1]
 
 
 _PAGE = 1 << 15
@@ -72,7 +92,9 @@ def benchmark_seeds(benchmark: DataFrame, config: SpacedSeeds) -> DataFrame:
                 out: list[list] = [[], [], [], [], []]
                 for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
                     own = hashes[a:b]
-                    seeds = [seeds_at(own, m, n) for n, m in enumerate(config.masks)]
+                    seeds = [seeds_at(own, config.every[n], n) for n in config.numbers(len(own))]
+                    if not seeds:
+                        continue
                     places = np.concatenate([np.arange(len(s)) for s in seeds])
                     values, first = np.unique(np.concatenate(seeds), return_index=True)
                     if len(values):
@@ -105,23 +127,32 @@ def seed_filter(items: DataFrame, bits: int) -> np.ndarray:
     return np.packbits(out)
 
 
-def document_hits(docs: DataFrame, filtered: np.ndarray, config: SpacedSeeds) -> DataFrame:
-    """Stretches of documents around seeds that pass the filter.
+def masks_of(items: DataFrame, config: SpacedSeeds) -> list[int]:
+    """Numbers of the masks that the items' lengths call for; at most ``min_overlap`` rows are read."""
+    size = F.least(F.octet_length("tokens") / 8, F.lit(config.min_overlap)).cast("int")
+    sizes = [row["size"] for row in items.select(size.alias("size")).distinct().collect()]
+    return sorted({n for size in sizes for n in config.numbers(size)})
+
+
+def document_hits(docs: DataFrame, filtered: np.ndarray, numbers: list[int], config: SpacedSeeds
+                  ) -> DataFrame:
+    """Stretches of documents around seeds, of the masks ``numbers``, that pass the filter.
 
     ``doc_id, text_hash, start, tokens, seeds, places``: the token hashes from
     ``start`` on, and the seeds with their places in the document. Hits whose
     surroundings meet share a stretch.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filtered)
-    widest = max(len(m) for m in config.masks)
+    masks = [(n, config.every[n]) for n in numbers]
+    widest = max((len(m) for _, m in masks), default=0)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             for part, data, offsets in text_slices(batch):
                 hashes, starts = word_hashes(data, offsets)
-                where, what = [], []
-                for number, mask in enumerate(config.masks):
+                where, what = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for number, mask in masks:
                     seeds = seeds_at(hashes, mask, number)
                     one, two = _tests(seeds, config.filter_bits)
                     hit = np.flatnonzero(table[one])
@@ -189,12 +220,13 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, config: SpacedSeeds = S
     seeds; a larger benchmark only lets more through. What passes is joined with
     the benchmark's seeds by hash, each alignment once, and checked token by token.
 
-    Null or empty texts hold nothing and are not found; items shorter than the
-    shortest mask are not searched for. Null ids are kept as they are. Repeated
+    Null or empty texts hold nothing and are not found; items of fewer than
+    ``shortest`` tokens are not searched for. Null ids are kept as they are. Repeated
     rows count once; further columns are ignored.
     """
     items = materialize(benchmark_seeds(benchmark, config), "items")
-    hits = materialize(document_hits(docs, seed_filter(items, config.filter_bits), config), "hits")
+    filtered = seed_filter(items, config.filter_bits)
+    hits = materialize(document_hits(docs, filtered, masks_of(items, config), config), "hits")
     key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")
     stretch = hits.select(key, "doc_id", "text_hash", "start", "tokens")
     corpus = hits.select(key, "text_hash", "start", F.explode(F.arrays_zip("seeds", "places")).alias("s")

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import struct
+from dataclasses import replace
+from itertools import combinations
 
 import public_tokenizers
 import pytest
@@ -89,6 +91,47 @@ def test_long_passages_with_repeats(make, spark):
     assert [(r.start, r.overlap) for r in rows] == [(30, 900)]
 
 
+def unseeded(masks, size, replaced):
+    """Placements of replaced tokens where no mask fits."""
+    left = []
+    for gone in replaced:
+        kept = "".join("0" if i in gone else "1" for i in range(size))
+        if not any(all(k == "1" for k, m in zip(kept[at:], mask) if m == "1")
+                   for mask in masks for at in range(size - len(mask) + 1)):
+            left.append(gone)
+    return left
+
+
+def test_masks_hit_every_placement():
+    config = decontamination.SpacedSeeds()
+    # A longer passage can be cut into these lengths; one of them has enough equal tokens.
+    for size in range(13, 25):
+        assert not unseeded(config.masks, size, combinations(range(size), size // 5))
+    assert not unseeded(config.masks, 25, combinations(range(25), 5))
+    # Of a whole item the first and the last token are equal.
+    for size in range(5, 13):
+        masks = [config.every[n] for n in replace(config, shortest=1).numbers(size)]
+        assert not unseeded(masks, size, combinations(range(1, size - 1), size // 5))
+
+
+def test_every_placement_is_found(make, spark):
+    rows, expected = [], set()
+    for number, size in enumerate((13, 15, 10, 6)):
+        for gone in combinations(range(1, size - 1), size // 5):
+            doc = len(rows)
+            passage = ["other" if i in gone else w for i, w in enumerate(item(70 + number, size))]
+            rows.append((doc, with_passage(doc, passage)))
+            expected.add((doc, number, 30, size, size - len(gone)))
+    table = spark.createDataFrame([(n, " ".join(item(70 + n, size))) for n, size in enumerate((13, 15, 10, 6))]
+                                  + [(9, "very short one")], "item_id long, text string")
+    docs = make([*rows, (9000, "some Very short ONE here")])
+    found = decontamination.find_passages(docs, table).drop("text_hash").collect()
+    assert {tuple(r) for r in found} == expected
+    config = decontamination.SpacedSeeds(shortest=1)
+    found = decontamination.find_passages(docs, table, config).drop("text_hash").collect()
+    assert {tuple(r) for r in found} == expected | {(9000, 9, 1, 3, 3)}
+
+
 @pytest.fixture(scope="module")
 def folder(spark, make, benchmark_table, tmp_path_factory):
     """A small set of tables with something for every stage."""
