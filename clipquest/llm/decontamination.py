@@ -196,16 +196,18 @@ def best_overlap(equal: np.ndarray, percent: int) -> tuple[int, int, int]:
     """Start, length and equal tokens of the longest stretch with ``percent`` % of equal ones.
 
     An equal token scores ``100 - percent`` and another ``-percent``, so such a
-    stretch scores 0 or more. Its ends are then drawn in to equal tokens.
+    stretch scores 0 or more. Only stretches that begin and end at equal tokens count.
     """
-    score = np.concatenate([[0], np.cumsum(np.where(equal, 100 - percent, -percent))])
-    # For each end the first start that has not scored more so far.
-    starts = np.searchsorted(-np.minimum.accumulate(score), -score, "left")
-    end = int(np.argmax(np.arange(len(score)) - starts))
-    inside = np.flatnonzero(equal[starts[end]:end]) + int(starts[end])
-    if not len(inside):
+    if not equal.any():
         return 0, 0, 0
-    return int(inside[0]), int(inside[-1] - inside[0]) + 1, len(inside)
+    score = np.concatenate([[0], np.cumsum(np.where(equal, 100 - percent, -percent))])
+    ends = np.flatnonzero(equal) + 1
+    # For each end the first equal token before which no more has been scored.
+    least = np.minimum.accumulate(np.where(equal, score[:-1], np.iinfo(np.int64).max))
+    starts = np.searchsorted(-least, -score[ends], "left")
+    best = int(np.argmax(ends - starts))
+    start, end = int(starts[best]), int(ends[best])
+    return start, end - start, int(equal[start:end].sum())
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, config: SpacedSeeds = SpacedSeeds()

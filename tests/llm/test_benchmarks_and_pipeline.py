@@ -6,6 +6,7 @@ import struct
 from dataclasses import replace
 from itertools import combinations
 
+import numpy as np
 import public_tokenizers
 import pytest
 from conftest_llm import SHARED, edge_rows, lines, words
@@ -132,6 +133,19 @@ def test_every_placement_is_found(make, spark):
     assert {tuple(r) for r in found} == expected | {(9000, 9, 1, 3, 3)}
 
 
+def test_longest_overlap():
+    late = [i not in (4, 8) for i in range(13)]
+    assert decontamination.best_overlap(np.array([True] * 12 + [False] * 30 + late), 80) == (42, 13, 11)
+    random_ = np.random.default_rng(3)
+    for _ in range(300):
+        equal = random_.random(random_.integers(0, 40)) < random_.random()
+        lengths = [b - a for a, b in combinations(range(len(equal) + 1), 2)
+                   if equal[a] and equal[b - 1] and 100 * equal[a:b].sum() >= 80 * (b - a)]
+        start, size, same = decontamination.best_overlap(equal, 80)
+        assert size == max(lengths, default=0)
+        assert same == equal[start:start + size].sum() and 100 * same >= 80 * size
+
+
 @pytest.fixture(scope="module")
 def folder(spark, make, benchmark_table, tmp_path_factory):
     """A small set of tables with something for every stage."""
