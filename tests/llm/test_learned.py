@@ -152,6 +152,10 @@ def test_quality_of_held_out_texts(marked):
     assert sorted(rows, key=lambda r: r.doc_id) == sorted(again, key=lambda r: r.doc_id)
 
 
+def test_quality_learns_from_as_many_rows_as_toxicity():
+    assert quality_classifier.QualityModel().sample == 20_000
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     random_ = np.random.default_rng(0)
     rows = [np.flatnonzero(random_.random(30) < 0.3) for _ in range(80)]
