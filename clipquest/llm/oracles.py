@@ -40,10 +40,42 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM firsts"""
 
+# A text with A-Z lower-cased, and the pattern of a term.
+_TERMS = ("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'")
+
+RANKED = f"""
+WITH counts AS (
+    SELECT r, doc_id, term, count(*) AS tf FROM (
+        SELECT r, doc_id, unnest(regexp_extract_all(
+            {_TERMS})) AS term
+        FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents))
+    GROUP BY ALL),
+lengths AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY r),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE)
+                                      / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM counts, whole GROUP BY term),
+wanted AS (
+    SELECT DISTINCT i, item_id, unnest(regexp_extract_all(
+        {_TERMS})) AS term
+    FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)),
+scores AS (
+    SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf)
+        // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+    FROM wanted JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (r), whole
+    GROUP BY i, item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+       doc_id, score
+FROM scores WHERE score > 0
+QUALIFY rank <= 10"""
+
 ORACLES: dict[str, str] = {
     "op2_line_dedup": "SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM ("
                       + LINE_DEDUP.format(docs="documents") + ")",
     "op10_warc": WARC,
+    "op13_ranked_search": RANKED,
 }
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipquest.llm import (
-    bpe, decontamination, jaccard_join, line_dedup, lm_scoring, quality_classifier, quality_rules,
-    toxicity, warc)
+    bpe, decontamination, jaccard_join, lexical_search, line_dedup, lm_scoring, periodic_runs,
+    quality_classifier, quality_rules, secret_scans, toxicity, warc)
 from clipquest.llm import token_counts as counts
 from clipquest.session import scratch_dir, ship_package
 
@@ -104,3 +104,35 @@ def op10_warc(spark, sf_dir):
     warc.write_archives(table(spark, sf_dir, "pages"), target)
     return warc.read_archives(spark, target).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op11_secret_scans(spark, sf_dir):
+    spans = secret_scans.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+
+    def counted(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    def listed(found):
+        return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return spans.select("doc_id", counted("assign"), counted("access"), counted("hex"),
+                        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    runs = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.repeated_tail)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return runs.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "start", "length", "period",
+        F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_ranked_search(spark, sf_dir):
+    return lexical_search.ranked_documents(table(spark, sf_dir, "documents"),
+                                           table(spark, sf_dir, "benchmark")).drop("text_hash")
