@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipquest.llm.rows import documents, mix, text_slices, word_hashes
+from clipquest.llm.rows import documents, free_names, mix, text_slices, word_hashes
 from clipquest.session import materialize
 
 
@@ -270,9 +270,13 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, config: SpacedSeeds = S
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, config: SpacedSeeds = SpacedSeeds()
                       ) -> DataFrame:
-    """The rows of ``docs``, with their columns, that hold no passage of the benchmark."""
+    """The rows of ``docs``, with their columns, that hold no passage of the benchmark.
+
+    See :func:`find_passages`. Null and empty texts stay, repeated rows go or stay
+    together, columns of any name stay as they are, and empty tables are fine on either side.
+    """
+    own = free_names(docs, "doc", "text")
     key, text = F.coalesce("doc_id", F.lit(-(1 << 63))), F.coalesce("text", F.lit(""))
-    found = find_passages(docs, benchmark, config).select(key.alias("_doc"), F.col("text_hash").alias(
-        "_text")).distinct()
-    marked = docs.withColumn("_doc", key).withColumn("_text", F.xxhash64(text))
-    return marked.join(found.hint("shuffle_hash"), ["_doc", "_text"], "left_anti").drop("_doc", "_text")
+    found = find_passages(docs, benchmark, config).select(key, "text_hash").toDF(*own).distinct()
+    marked = docs.withColumns(dict(zip(own, (key, F.xxhash64(text)))))
+    return marked.join(found.hint("shuffle_hash"), own, "left_anti").drop(*own)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipquest.llm.components import components
-from clipquest.llm.rows import documents, mix, text_slices, word_hashes
+from clipquest.llm.rows import documents, free_names, mix, text_slices, word_hashes
 from clipquest.session import materialize
 
 
@@ -22,14 +22,16 @@ class Similarity:
     """Sets of ``words``-word shingles link at a Jaccard similarity of ``percent`` % or more.
 
     ``parts`` second-level parts of which ``apart`` may differ make PartEnum's
-    subsets. ``block`` bounds how many shingles one side of a comparison holds.
+    subsets. ``block`` bounds how many shingles one side of a comparison holds, and
+    ``members`` how many sets of one signature meet at a time.
     """
 
     words: int = 3
     percent: int = 90
-    parts: int = 1
-    apart: int = 0
+    parts: int = 2
+    apart: int = 1
     block: int = 250_000
+    members: int = 4096
 
     def bands(self, largest: int) -> list[tuple[int, int]]:
         """Size bands: each reaches to the largest size that its smallest can link with."""
@@ -139,34 +141,57 @@ class Signatures:
         return np.concatenate(out)
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """A bit per place: whether an odd number of elements fall there; about as many places as elements.
+
+    Sketches of two sets differ in at most as many bits as the sets in elements. A
+    sketch folds to half its size by an exclusive or of its halves.
+    """
+    size = max(64, 1 << (len(elements) - 1).bit_length())
+    odd = np.bincount((elements & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def short_id(node: bytes) -> int:
+    """The first eight bytes of a node; sets that share them only become candidates together."""
+    return int.from_bytes(node[:8], "big", signed=True)
+
+
 def document_sets(docs: DataFrame, similarity: Similarity) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, node`` of every row; equal sets have equal nodes."""
+    """``doc_id, text_hash, n_shingles, node, short, bits`` of every row.
+
+    Equal sets have equal nodes; ``short`` is a node's short id and ``bits`` its sketch. Texts without
+    words have none of the three.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, similarity.words):
+            nodes = [node_of(s) if len(s) else None for s in sets]
             yield pa.record_batch(
                 [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([node_of(s) if len(s) else None for s in sets], pa.binary())],
-                ["doc_id", "text_hash", "n_shingles", "node"])
+                 pa.array(nodes, pa.binary()),
+                 pa.array([n and short_id(n) for n in nodes], pa.int64()),
+                 pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "node", "short", "bits"])
 
-    return documents(docs).mapInArrow(
-        read, "doc_id bigint, text_hash bigint, n_shingles bigint, node binary")
+    return documents(docs).mapInArrow(read, "doc_id bigint, text_hash bigint, n_shingles bigint, "
+                                            "node binary, short bigint, bits binary")
 
 
-def candidate_links(docs: DataFrame, similarity: Similarity) -> DataFrame:
-    """``a, b``: links that join all sets that share signatures, directly or by way of others.
+def shared_signatures(docs: DataFrame, similarity: Similarity) -> DataFrame:
+    """``group, member``: short ids of sets that share a signature, each set of members once.
 
-    Rows (signature, node) are range-partitioned by both, so a signature that
-    very many sets share spreads over many partitions. A partition links the sets
-    of a signature to the first one there, unless they are joined already, and reports its first and last
-    signature, which may go on in another partition; their first sets are linked
-    in a second, small step.
+    Rows (signature, short id) are dealt by signature and sorted. Signatures that a
+    single set has, nine in ten, go no further, and neither do equal lists of
+    members, as near copies share very many signatures. Lists of over ``members`` are cut
+    into pieces of that size, of which every two make a group, so a signature that
+    very many sets share is streamed and its pairs of sets meet in groups of bounded size.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures, seen = Signatures(similarity), set()
         for part, sets in _sets(batches, similarity.words):
-            found, nodes = [], []
+            found, owners = [], []
             for elements in sets:
                 node = node_of(elements)
                 if not len(elements) or node in seen:  # copies in a task sign once
@@ -175,109 +200,206 @@ def candidate_links(docs: DataFrame, similarity: Similarity) -> DataFrame:
                     seen.add(node)
                 own = signatures.of(elements)
                 found.append(own)
-                nodes.append((node, len(own)))
+                owners.append(np.full(len(own), short_id(node)))
             if found:
-                yield pa.record_batch(
-                    [pa.array(np.concatenate(found).view(np.int64)),
-                     pa.array([n for n, count in nodes for _ in range(count)], pa.binary())],
-                    ["signature", "node"])
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signature, first, last, opened = None, None, None, True
-        ends: list[tuple] = []
+                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)),
+                                       pa.array(np.concatenate(owners))], ["signature", "member"])
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        signature, member, pieces = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        for batch in batches:
+            more = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(more[0]):
+                continue
+            signature, member = np.concatenate([signature, more[0]]), np.concatenate([member, more[1]])
+            fresh = (np.diff(signature, prepend=~signature[0]) != 0) | (np.diff(member, prepend=~member[0]) != 0)
+            signature, member = signature[fresh], member[fresh]
+            # The last signature may go on in the next batch.
+            last = int(np.searchsorted(signature, signature[-1], "left"))
+            if pieces and last:
+                first = int(np.searchsorted(signature, signature[0], "right"))
+                yield _piece(signature[0], pieces, member[:first])
+                signature, member, last, pieces = signature[first:], member[first:], last - first, 0
+            yield closed(signature[:last], member[:last], seen)
+            signature, member = signature[last:], member[last:]
+            while len(member) > similarity.members:
+                yield _piece(signature[0], pieces, member[:similarity.members])
+                signature, member = signature[similarity.members:], member[similarity.members:]
+                pieces += 1
+        if pieces:
+            yield _piece(signature[0], pieces, member)
+        elif len(signature):
+            yield closed(signature, member, seen)
+
+    def closed(signature: np.ndarray, member: np.ndarray, seen: set[int]) -> pa.RecordBatch:
+        begins = np.flatnonzero(np.diff(signature, prepend=~signature[:1]) != 0)
+        sizes = np.diff(np.append(begins, len(signature)))
+        keys = np.zeros(0, np.int64)
+        if len(begins):
+            keys = mix(np.add.reduceat(mix(member.view(np.uint64)), begins) + sizes.astype(np.uint64)).view(np.int64)
+        several = np.flatnonzero(sizes > 1)
+        several = several[np.unique(keys[several], return_index=True)[1]]
+        several = several[np.fromiter((k not in seen for k in keys[several].tolist()), bool, len(several))]
+        if len(seen) < 500_000:
+            seen.update(keys[several].tolist())
+        taken = np.zeros(len(begins), bool)
+        taken[several] = True
+        rows = np.repeat(taken, sizes)
+        return _members(np.repeat(keys, sizes)[rows], None, member[rows])
+
+    def _piece(signature: int, number: int, member: np.ndarray) -> pa.RecordBatch:
+        return _members(np.full(len(member), signature), number, member)
+
+    def _members(key: np.ndarray, piece: int | None, member: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(key, pa.int64()), pa.array([piece] * len(member), pa.int32()),
+                                pa.array(member, pa.int64())], ["group", "piece", "member"])
+
+    signed = documents(docs).mapInArrow(sign, "signature bigint, member bigint")
+    found = signed.repartition("signature").sortWithinPartitions("signature", "member").mapInArrow(
+        group, "group bigint, piece int, member bigint")
+    found = materialize(found, "signature-groups")
+    pieces = found.filter("piece is not null").distinct()
+    numbers = pieces.groupBy("group").agg(F.max("piece").alias("top"))
+    spread = pieces.join(numbers, "group").withColumn("other", F.explode(F.sequence(F.lit(0), "top"))).filter(
+        "top = 0 or other != piece")
+    pairs = spread.select(F.xxhash64("group", F.least("piece", "other"), F.greatest("piece", "other")).alias(
+        "group"), "member")
+    return found.filter("piece is null").select("group", "member").union(pairs).distinct()
+
+
+def _close(rows: list[tuple[int, int, bytes]], percent: int, joined: _Forest) -> list[tuple[int, int]]:
+    """Links of sets (short id, size, sketch) that may be similar, as many as join them.
+
+    Sets that ``joined`` holds together already are not compared.
+    """
+    size = min(len(r[2]) for r in rows)
+    out = []
+    if len(rows) <= 12:
+        folded = []
+        for _, _, bits in rows:
+            value, width = int.from_bytes(bits, "little"), 8 * len(bits)
+            while width > 8 * size:
+                width //= 2
+                value = (value >> width) ^ (value & ((1 << width) - 1))
+            folded.append(value)
+        for j, (b, n, _) in enumerate(rows):
+            for i, (a, m, _) in enumerate(rows[:j]):
+                apart = (folded[i] ^ folded[j]).bit_count()
+                if (apart * (100 + percent) <= (100 - percent) * (n + m)
+                        and 100 * min(n, m) >= percent * max(n, m) and joined.join(a, b)):
+                    out.append((a, b))
+        return out
+    words = np.empty((len(rows), size // 8), np.uint64)
+    for i, (_, _, bits) in enumerate(rows):
+        words[i] = np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
+    sizes = np.array([r[1] for r in rows])
+    ends: dict[int, int] = {}
+    own = np.array([ends.setdefault(joined.end(r[0]), len(ends)) for r in rows])
+    for i in range(len(rows) - 1):
+        others = np.flatnonzero(own[i + 1:] != own[i]) + i + 1
+        n, m = sizes[i], sizes[others]
+        others = others[100 * np.minimum(n, m) >= percent * np.maximum(n, m)]
+        if not len(others):
+            continue
+        apart = np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64)
+        others = others[apart * (100 + percent) <= (100 - percent) * (n + sizes[others])]
+        labels, first = np.unique(own[others], return_index=True)
+        for j in others[first].tolist():
+            joined.join(rows[i][0], rows[j][0])
+            out.append((rows[i][0], rows[j][0]))
+        own[np.isin(own, labels)] = own[i]
+    return out
+
+
+def candidate_links(docs: DataFrame, nodes: DataFrame, similarity: Similarity) -> DataFrame:
+    """``a, b``: links between short ids that join all sets that may be similar.
+
+    That are sets that share a signature, of sizes and sketches that similar sets can
+    have. All pairs of a group are tried, on sketches of some bits per element, in one task, as a
+    group is bounded; only links that join what was apart are rows.
+    """
+    groups = shared_signatures(docs, similarity).join(
+        nodes.select(F.col("short").alias("member"), "n_shingles", "bits"), "member")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined = _Forest()
+        key, rows = None, []
         for batch in batches:
-            out: list[tuple] = []
-            for s, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if s != signature:
-                    if opened and signature is not None:
-                        ends.append((first, None, signature))
-                        opened = False
-                    signature, first, last = s, node, node
-                elif node != last:
-                    last = node
-                    if joined.join(first, node):
-                        out.append((first, node, None))
-            if out:
-                yield _links(out)
-        if signature is not None:
-            ends.append((first, None, signature))
-            yield _links(ends)
-
-    def _links(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([r[0] for r in rows], pa.binary()),
-                                pa.array([r[1] for r in rows], pa.binary()),
-                                pa.array([r[2] for r in rows], pa.int64())], ["a", "b", "signature"])
-
-    signed = documents(docs).mapInArrow(sign, "signature bigint, node binary")
-    sorted_rows = signed.repartitionByRange("signature", "node").sortWithinPartitions(
-        "signature", "node")
-    found = sorted_rows.mapInArrow(runs, "a binary, b binary, signature bigint")
-    found = materialize(found.distinct(), "candidates")
-    open_ends = found.filter("b is null")
-    lowest = open_ends.groupBy("signature").agg(F.min("a").alias("low"))
-    across = open_ends.join(lowest, "signature").filter("a != low").select(
-        F.col("low").alias("a"), F.col("a").alias("b"))
-    return found.filter("b is not null").select("a", "b").union(across).distinct()
+            out = []
+            for group, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != key:
+                    out += _close(rows, similarity.percent, joined) if len(rows) > 1 else []
+                    key, rows = group, []
+                rows.append(tuple(row))
+            yield links(out)
+        yield links(_close(rows, similarity.percent, joined) if len(rows) > 1 else [])
+
+    def links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([a for a, _ in rows], pa.int64()),
+                                pa.array([b for _, b in rows], pa.int64())], ["a", "b"])
+
+    sorted_rows = groups.select("group", "member", "n_shingles", "bits").repartition(
+        "group").sortWithinPartitions("group", "member")
+    return sorted_rows.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 class _Forest:
-    """Which nodes links have joined so far; forgets when it has grown large."""
+    """Which sets links have joined so far; forgets when it has grown large."""
 
     def __init__(self, most: int = 200_000):
-        self.up: dict[bytes, bytes] = {}
+        self.up: dict[int, int] = {}
         self.most = most
 
-    def _end(self, node: bytes) -> bytes:
+    def end(self, node: int) -> int:
         up = self.up
         while (above := up.get(node, node)) != node:
             up[node] = up.get(above, above)
             node = above
         return node
 
-    def join(self, a: bytes, b: bytes) -> bool:
+    def join(self, a: int, b: int) -> bool:
         """Whether the link joins what was apart."""
         if len(self.up) > self.most:
             self.up.clear()
-        a, b = self._end(a), self._end(b)
+        a, b = self.end(a), self.end(b)
         if a != b:
             self.up[max(a, b)] = min(a, b)
         return a != b
 
 
 def _linked(sets: list[np.ndarray], split: int, percent: int) -> list[tuple[int, int]]:
-    """Links that join all linked sets of a group; across ``split`` only, if it isn't 0.
+    """Links that join all linked sets of a group; across ``split``, if it isn't 0.
 
-    Sets already joined are not compared again, and of the others each is
-    compared with all the rest at once.
+    A set is compared with all those at once that it isn't joined with yet. The
+    first set of either side is compared with both sides, so near copies of one
+    text are joined in one step or two.
     """
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     sizes = np.array([len(s) for s in sets])
     values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    mark = np.zeros(len(values), bool)
+    mark = np.zeros(len(values), np.int32)
+    own = np.arange(len(sets))
     out = []
-    for i in range(len(sets)):
-        low = max(i + 1, split)
-        if low >= len(sets) or (split and i >= split):
-            break
-        mark[inverse[starts[i]:starts[i + 1]]] = True
-        both = np.bincount(owner[starts[low]:], mark[inverse[starts[low]:]], len(sets))[low:]
-        mark[inverse[starts[i]:starts[i + 1]]] = False
-        union = sizes[i] + sizes[low:] - both
-        for j in (np.flatnonzero(100 * both >= percent * union) + low).tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((i, j))
+
+    def compare(i: int, low: int) -> None:
+        others = np.flatnonzero(own[low:] != own[i]) + low
+        if not len(others):
+            return
+        mark[inverse[starts[i]:starts[i + 1]]] = 1
+        first, last = int(others[0]), int(others[-1])
+        hits = mark[inverse[starts[first]:starts[last + 1]]]
+        both = np.add.reduceat(hits, starts[first:last + 1] - starts[first])[others - first]
+        mark[inverse[starts[i]:starts[i + 1]]] = 0
+        linked = others[100 * both >= percent * (sizes[i] + sizes[others] - both)]
+        labels, at = np.unique(own[linked], return_index=True)
+        out.extend((i, int(j)) for j in linked[at])
+        own[np.isin(own, labels)] = own[i]
+
+    for i in (0, split) if split else ():
+        compare(i, 0)
+    for i in range(split or len(sets) - 1):
+        compare(i, max(i + 1, split))
     return out
 
 
@@ -290,8 +412,8 @@ def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame,
     link meet in one task as texts, so a family of any size is compared whole and
     no task holds more than two blocks. Most families are one block.
     """
-    families = components(candidates)
-    sizes = families.join(nodes, "node")
+    families = components(candidates).withColumnRenamed("node", "short")
+    sizes = families.join(nodes.drop("bits"), "short")
     by_size = sizes.groupBy("root", "n_shingles").agg(F.sum("n_shingles").alias("total"))
     order = Window.partitionBy("root").orderBy("n_shingles")
     below = by_size.withColumn("below", F.sum("total").over(order) - F.col("total"))
@@ -308,9 +430,9 @@ def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame,
         F.col("l.root").alias("root"), F.col("l.block").alias("one"), F.col("r.block").alias("two"))
     sides = pairs.select("root", "one", "two", F.explode(
         F.array_distinct(F.array("one", "two"))).alias("block"))
+    # Where few texts are candidates, their keys' stored size lets Spark broadcast them, and the others stay.
     texts = documents(docs).withColumn("key", F.coalesce("doc_id", F.lit(_NO_ID))).join(
-        placed.select("key", "text_hash", "root", "block", "node").hint("shuffle_hash"),
-        ["key", "text_hash"])
+        placed.select("key", "text_hash", "root", "block", "node"), ["key", "text_hash"])
     routed = texts.join(sides, ["root", "block"]).select(
         "text", "root", "one", "two", "block", "node")
     groups = routed.repartition("root", "one", "two").sortWithinPartitions(
@@ -352,24 +474,25 @@ def similar_documents(docs: DataFrame, similarity: Similarity = Similarity()) ->
     get a row; further columns are ignored; an empty table gives none.
 
     Equal sets are one node, so copies are never compared. Each node has one
-    representative row; signatures give candidate families, and only families'
-    texts are compared.
+    representative row; signatures and sketches give candidate families, and only families'
+    texts are compared. A text of any length is one set, whole; its signatures and its sketch
+    grow with it.
     """
     sets = materialize(document_sets(docs, similarity), "sets")
     filled = sets.filter("node is not null")
     nodes = filled.groupBy("node").agg(
         F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text_hash",
-                       "n_shingles")).alias("row"), F.min("doc_id").alias("lowest")).select(
-        "node", "row.key", "row.text_hash", "row.n_shingles", "lowest")
+                       "n_shingles", "short", "bits")).alias("row"), F.min("doc_id").alias("lowest")).select(
+        "node", "row.key", "row.text_hash", "row.n_shingles", "row.short", "row.bits", "lowest")
     nodes = materialize(nodes, "nodes")
-    links = materialize(verified_links(docs, nodes, candidate_links(docs, similarity), similarity),
+    links = materialize(verified_links(docs, nodes, candidate_links(docs, nodes, similarity), similarity),
                         "similar")
     roots = components(links)
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = joined.groupBy("root").agg(F.min("lowest").alias("component_id"))
     of_node = joined.select("node", "root").join(lowest, "root").select(
         "node", "component_id", F.col("root").alias("group"))
-    return sets.join(of_node, "node", "left").select(
+    return sets.select("doc_id", "text_hash", "n_shingles", "node").join(of_node, "node", "left").select(
         "doc_id", "text_hash", "n_shingles",
         F.coalesce("component_id", "doc_id").alias("component_id"), "group")
 
@@ -378,7 +501,8 @@ def keep_one_each(docs: DataFrame, similarity: Similarity = Similarity()) -> Dat
     """The rows of ``docs``, with their columns, that stand for their component.
 
     That is the row of the smallest id, and of the smallest text hash under it;
-    of repeated rows one. Texts without words all stay.
+    of repeated rows one. A null id comes last. Null and empty texts and those without words all
+    stay. Columns of any name stay as they are, and an empty table gives no row.
     """
     key, text = F.coalesce("doc_id", F.lit(_NO_ID)), F.coalesce("text", F.lit(""))
     wordless = ~text.rlike(r"[^\x20\x09-\x0D]")
@@ -387,6 +511,8 @@ def keep_one_each(docs: DataFrame, similarity: Similarity = Similarity()) -> Dat
                            F.col("text_hash").alias("_text"))).alias("first")
     chosen = similar_documents(docs, similarity).filter(F.col("group").isNotNull()).groupBy("group").agg(
         first).select("first._doc", "first._text")
-    marked = docs.filter(~wordless).withColumn("_doc", key).withColumn("_text", F.xxhash64(text))
-    kept = marked.join(chosen.hint("shuffle_hash"), ["_doc", "_text"], "left_semi")
-    return kept.dropDuplicates(["_doc", "_text"]).drop("_doc", "_text").unionByName(docs.filter(wordless))
+    own = free_names(docs, "doc", "text")
+    marked = docs.filter(~wordless).withColumns(dict(zip(own, (key, F.xxhash64(text)))))
+    chosen = chosen.toDF(*own).hint("shuffle_hash")
+    kept = marked.join(chosen, own, "left_semi").dropDuplicates(own).drop(*own)
+    return kept.unionByName(docs.filter(wordless))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipquest.llm.features import Rows, byte_grams, fitted, labelled_sample, repeated_pairs
-from clipquest.llm.rows import documents, fold, text_slices
+from clipquest.llm.rows import documents, fold, free_names, text_slices
 
 
 @dataclass(frozen=True)
@@ -163,9 +163,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, config: QualityModel = Qu
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, config: QualityModel = QualityModel()) -> DataFrame:
-    """The rows of ``docs``, with their columns, that the classifier does not reject."""
-    rejected = quality_scores(docs, labels, config).filter("predicted = 0").select(
-        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_doc"), F.col("text_hash").alias("_text")).distinct()
-    marked = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn(
-        "_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return marked.join(rejected.hint("shuffle_hash"), ["_doc", "_text"], "left_anti").drop("_doc", "_text")
+    """The rows of ``docs``, with their columns, that the classifier does not reject.
+
+    See :func:`quality_scores`. Repeated rows go or stay together, columns of any name
+    stay as they are, and an empty table gives no row.
+    """
+    own = free_names(docs, "doc", "text")
+    key, text = F.coalesce("doc_id", F.lit(-(1 << 63))), F.coalesce("text", F.lit(""))
+    rejected = quality_scores(docs, labels, config).filter("predicted = 0").select(key, "text_hash").toDF(
+        *own).distinct()
+    marked = docs.withColumns(dict(zip(own, (key, F.xxhash64(text)))))
+    return marked.join(rejected.hint("shuffle_hash"), own, "left_anti").drop(*own)

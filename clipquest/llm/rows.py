@@ -27,6 +27,19 @@ def documents(df: DataFrame, *more: str | Column) -> DataFrame:
                      F.xxhash64(text).alias("text_hash"), *more)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, in either case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """CRC-32 of the id as text (null: empty text), modulo ``folds``."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

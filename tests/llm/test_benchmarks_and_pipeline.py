@@ -73,6 +73,8 @@ def test_passages(make, benchmark_table):
         assert len(rows) == sum(len(f) for _, _, f in FOUND) + 1
     kept = decontamination.drop_contaminated(docs, benchmark_table)
     assert kept.columns == docs.columns
+    renamed = docs.withColumnsRenamed({"word": "_doc", "n": "_text"})
+    assert decontamination.drop_contaminated(renamed, benchmark_table).columns == renamed.columns
     left = [r.doc_id for r in kept.collect()]
     assert {i for i in left if i and 100 <= i < 115} == {109, 110, 111, 112}
     assert len(left) == docs.count() - sum(bool(f) for _, _, f in FOUND) - 2
@@ -211,7 +213,7 @@ def brute_in_order(rows):
     for n, row in enumerate(ordered):
         by_row.setdefault(n, row)
     numbered = [(n, t) for n, (_, t) in by_row.items()]
-    lowest = {n: c for n, _, c in brute_components(numbered)}
+    lowest = {n: c for n, _, c in brute_components(numbered, 80, 5)}
     groups = {}
     for n, c in lowest.items():
         if ordered[n][0] is not None:

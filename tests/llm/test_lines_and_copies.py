@@ -67,8 +67,8 @@ def shingle_set(text, n=3):
     return frozenset(zip(*(w[i:] for i in range(n)))) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def brute_components(rows, percent=90):
-    sets = [shingle_set(t) for _, t in rows]
+def brute_components(rows, percent=90, n=3):
+    sets = [shingle_set(t, n) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -119,11 +119,38 @@ def test_families_across_blocks_and_chains(make):
     rows = list(enumerate(texts))
     expected = brute_components(rows)
     docs = make(rows)
-    for block in (250_000, 900):
-        assert components_of(docs, block=block) == expected
+    for settings_ in ({}, {"block": 900}, {"members": 4}, {"block": 2000, "members": 2}):
+        assert components_of(docs, **settings_) == expected
     assert len({c for _, _, c in expected}) < len(rows)
-    # PartEnum with subsets of second-level parts finds the same.
-    assert components_of(docs, parts=3, apart=1) == expected
+    # Other shapes of PartEnum find the same.
+    assert components_of(docs, parts=1, apart=0) == components_of(docs, parts=4, apart=2) == expected
+    assert components_of(docs, words=5, percent=80) == brute_components(rows, 80, 5)
+
+
+def test_a_passage_that_many_documents_share(make):
+    passage = " ".join(f"p{i}" for i in range(60))
+    pick = random.Random(5)
+    rows = [(i, " ".join(f"w{pick.randrange(10**6)}" for _ in range(20 + i % 7)) + " " + passage) for i in range(150)]
+    rows += [(1000 + i, rows[i][1].replace("p30 ", f"x{i} ")) for i in range(0, 150, 5)]
+    docs = make(rows)
+    for settings_ in ({}, {"members": 16, "block": 3000}):
+        assert components_of(docs, percent=80, **settings_) == brute_components(rows, 80)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 500), st.integers(0, 300), st.integers(0, 300), st.integers(0, 10**6))
+def test_sketches_never_differ_in_more_than_the_sets(common, left, right, seed):
+    values = np.random.default_rng(seed).integers(0, 1 << 62, common + left + right).astype(np.uint64)
+    a, b = np.unique(values[:common + left]), np.unique(np.concatenate([values[:common], values[common + left:]]))
+    if not len(a) or not len(b):
+        return
+    rows = [(i, len(x), jaccard_join.sketch(x)) for i, x in enumerate((a, b))]
+    same = len(np.intersect1d(a, b))
+    for copies in (1, 10):  # few sets are compared one by one, many at once
+        several = rows + [(2 + i, len(b), rows[1][2]) for i in range(copies)]
+        found = jaccard_join._close(several, 80, jaccard_join._Forest())
+        if 100 * same >= 80 * (len(a) + len(b) - same):
+            assert any(0 in pair for pair in found)
 
 
 def test_keep_one_each(edges, make):
@@ -137,9 +164,16 @@ def test_keep_one_each(edges, make):
     assert "alone here now yes" in texts
 
 
+def test_clashing_names_stay(edges):
+    more = edges.withColumnsRenamed({"word": "_doc", "n": "_TEXT", "node": "__doc", "label": "group"})
+    for kept in (jaccard_join.keep_one_each(more), jaccard_join.keep_one_each(edges)):
+        assert kept.filter("doc_id = 10").count() == 1
+    assert jaccard_join.keep_one_each(more).columns == more.columns
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.integers(0, 10**6),
-       st.sampled_from([(1, 0), (3, 1)]))
+       st.sampled_from([(1, 0), (2, 1), (3, 1), (4, 2)]))
 def test_linked_sets_share_a_signature(common, left, right, seed, shape):
     similarity = jaccard_join.Similarity(parts=shape[0], apart=shape[1])
     random_ = np.random.default_rng(seed)
