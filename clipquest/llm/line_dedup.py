@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipquest.llm.rows import SPACES, documents
+from clipquest.llm.rows import SPACES, documents, free_names
 from clipquest.session import materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,11 +33,11 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """``doc, text_hash, runs`` of each row that loses lines.
+    """``doc, text_hash, ends, runs`` of each row that loses lines.
 
     ``runs`` is the row's keep bitmap in compressed form: lengths of runs of
     lines, in turn kept and dropped, first kept; what follows the last run is
-    kept. A key of at least ``min_chars`` code points found in ``min_docs``
+    kept. ``ends`` says where they end, so that a run can be cut out by itself. A key of at least ``min_chars`` code points found in ``min_docs``
     documents or more is dropped everywhere but in the document of the largest
     id that holds it. Documents are told apart by id; null ids are one document,
     below all others. Repeated rows lose the same lines.
@@ -59,50 +59,57 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     keys = materialize(keys.select("h1", "h2", "keeper"), "shared-lines")
     dropped = lines.join(keys, ["h1", "h2"]).filter("doc < keeper")
     bits = dropped.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
-    return bits.select("doc", "text_hash", _runs(F.col("gone")).alias("runs"))
+    bits = bits.select("doc", "text_hash", _ends(F.col("gone")).alias("ends"))
+    ends = F.col("ends")
+    return bits.select("doc", "text_hash", "ends", F.transform(
+        ends, lambda e, i: e - F.when(i == 0, 0).otherwise(F.get(ends, i - 1))).alias("runs"))
 
 
-def _runs(gone: Column) -> Column:
-    """Run lengths of a sorted list of dropped positions."""
+def _ends(gone: Column) -> Column:
+    """Where runs of kept and of dropped lines end, of a sorted list of dropped positions."""
     # Starts and ends of runs: positions whose neighbour before or after stays.
     size = F.size(gone)
     starts = F.filter(gone, lambda p, i: (i == 0) | (F.get(gone, i - 1) != p - 1))
     ends = F.filter(gone, lambda p, i: (i == size - 1) | (F.get(gone, i + 1) != p + 1))
-    pairs = F.zip_with(starts, ends, lambda a, b: F.array(a, b + 1))
-    edges = F.flatten(pairs)
-    return F.transform(edges, lambda p, i: p - F.when(i == 0, 0).otherwise(F.get(edges, i - 1)))
-
-
-def _dropped(runs: Column) -> Column:
-    """The dropped positions of run lengths."""
-    each = F.transform(runs, lambda n, i: F.struct(
-        i.alias("i"), n.alias("n"),
-        F.aggregate(F.slice(runs, 1, i + 1), F.lit(0), lambda a, x: a + x).alias("end")))
-    return F.flatten(F.transform(F.filter(each, lambda r: r["i"] % 2 == 1),
-                                 lambda r: F.sequence(r["end"] - r["n"], r["end"] - 1)))
+    return F.flatten(F.zip_with(starts, ends, lambda a, b: F.array(a, b + 1)))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *more: str) -> DataFrame:
     """``doc_id, text, n_lines, n_dropped`` and ``more`` columns of ``docs``, lines dropped.
 
     Only this step moves texts, once, and rows without a bitmap stay as they are.
-    A null or empty text is one empty line.
+    Its work grows with a text's lines and not with their square. A null or empty text is one
+    empty line. ``more`` may have any names but those four.
     """
-    rows = documents(docs, *more).withColumn("doc", F.coalesce("doc_id", F.lit(_NO_ID)))
-    joined = rows.join(bitmaps.hint("shuffle_hash"), ["doc", "text_hash"], "left")
-    lines = F.split("text", "\n", -1)
-    gone = _dropped(F.col("runs"))
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    return joined.withColumn("gone", gone).select(
-        "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
+    doc, edges, split = free_names(docs, "doc", "ends", "lines")
+    rows = documents(docs, *more).withColumn(doc, F.coalesce("doc_id", F.lit(_NO_ID)))
+    bits = bitmaps.select(F.col("doc").alias(doc), "text_hash", F.col("ends").alias(edges))
+    joined = rows.join(bits.hint("shuffle_hash"), [doc, "text_hash"], "left")
+    # A column of its own, used more than once, so it is split once and not for each run.
+    joined = joined.withColumn(split, F.split("text", "\n", -1))
+    lines, ends = F.col(split), F.col(edges)
+
+    def kept_run(k: Column) -> Column:
+        begin = F.when(k == 0, 0).otherwise(F.get(ends, 2 * k - 1))
+        end = F.coalesce(F.get(ends, 2 * k), F.size(lines))
+        return F.slice(lines, begin + 1, end - begin)
+
+    # Every other edge ends dropped lines, the others begin them.
+    gone = F.aggregate(F.transform(ends, lambda e, i: F.when(i % 2 == 1, e).otherwise(-e)), F.lit(0),
+                       lambda a, x: a + x)
+    kept = F.array_join(F.flatten(F.transform(
+        F.sequence(F.lit(0), F.expr(f"size(`{edges}`) div 2").cast("int")), kept_run)), "\n")
+    return joined.select(
+        "doc_id", F.when(ends.isNull(), F.col("text")).otherwise(kept).alias("text"),
         F.size(lines).cast("bigint").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint").alias("n_dropped"), *more)
+        F.when(ends.isNull(), 0).otherwise(gone).cast("bigint").alias("n_dropped"), *more)
 
 
 def drop_shared_lines(docs: DataFrame, *more: str, min_chars: int = 40, min_docs: int = 5
                       ) -> DataFrame:
     """Drop shared lines from documents; see :func:`keep_bitmaps`.
 
-    Further columns are left out unless named; an empty table gives no row.
+    Further columns are left out unless named; an empty table gives no row. A
+    very long text is many lines like any other, and a very long line two hashes.
     """
     return apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs), *more)

@@ -56,10 +56,24 @@ def test_bitmaps_are_runs_of_kept_and_dropped(spark, make):
     assert all(r.runs == [1, 2, 1, 1] for r in bits)
 
 
+def test_many_lines(make):
+    """Work grows with the lines: the square of these would take hours."""
+    rows = [(d, "\n".join(f"this line number {i} is held by every document of these" if i % 2 else f"own {d} {i}"
+                          for i in range(60_000))) for d in range(6)]
+    found = {r.doc_id: r for r in line_dedup.drop_shared_lines(make(rows)).collect()}
+    assert all((found[d].n_lines, found[d].n_dropped) == (60_000, 30_000) for d in range(5))
+    assert found[4].text == "\n".join(f"own 4 {i}" for i in range(0, 60_000, 2))
+    assert found[5].text == rows[5][1]
+
+
 def test_named_columns_are_kept(edges):
     found = line_dedup.drop_shared_lines(edges, "lang", "n")
     assert found.columns == ["doc_id", "text", "n_lines", "n_dropped", "lang", "n"]
     assert found.filter("n = 'c'").count() == len(edge_rows())
+    more = edges.withColumnsRenamed({"word": "doc", "n": "runs", "node": "_lines", "label": "ends", "x": "lines"})
+    found = line_dedup.drop_shared_lines(more, "doc", "runs", "_lines", "ends", "lines")
+    assert found.columns[4:] == ["doc", "runs", "_lines", "ends", "lines"]
+    assert found.filter("runs = 'c' and ends = 'c' and lines = 'c'").count() == len(edge_rows())
 
 
 def shingle_set(text, n=3):
