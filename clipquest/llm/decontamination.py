@@ -81,7 +81,7 @@ def _tests(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def benchmark_seeds(benchmark: DataFrame, config: SpacedSeeds) -> DataFrame:
     """``item_id, text_hash, tokens, seeds, places`` of each item with enough tokens.
 
-    Of equal seeds in an item the first stands for all.
+    A seed that an item repeats is listed with each of its places.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,10 +96,9 @@ def benchmark_seeds(benchmark: DataFrame, config: SpacedSeeds) -> DataFrame:
                     if not seeds:
                         continue
                     places = np.concatenate([np.arange(len(s)) for s in seeds])
-                    values, first = np.unique(np.concatenate(seeds), return_index=True)
-                    if len(values):
+                    if len(places):
                         for column, value in zip(out, (ids[i], keys[i], own.tobytes(),
-                                                       values.view(np.int64), places[first])):
+                                                       np.concatenate(seeds).view(np.int64), places)):
                             column.append(value)
                 yield pa.record_batch(
                     [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
@@ -222,8 +221,13 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, config: SpacedSeeds = S
     seeds; a larger benchmark only lets more through. What passes is joined with
     the benchmark's seeds by hash, each alignment once, and checked token by token.
 
+    Every place of a seed in an item meets every place of it in a document, so
+    repeats inside an item hide no alignment; equal alignments count once before
+    they are shuffled.
+
     Null or empty texts hold nothing and are not found; items of fewer than
-    ``shortest`` tokens are not searched for. Null ids are kept as they are. Repeated
+    ``shortest`` tokens are not searched for. A very long text is searched whole, and what goes on
+    are the stretches around its hits. With no documents or no items nothing is found. Null ids are kept as they are. Repeated
     rows count once; further columns are ignored.
     """
     items = materialize(benchmark_seeds(benchmark, config), "items")

@@ -135,6 +135,57 @@ def test_every_placement_is_found(make, spark):
     assert {tuple(r) for r in found} == expected | {(9000, 9, 1, 3, 3)}
 
 
+def test_repeats_in_items_hide_no_passage(make, spark):
+    """Items A B A C; documents hold A C with two tokens replaced, in every placement."""
+    a, b, c = item(200, 9), item(201, 20), item(202, 4)
+    table = spark.createDataFrame([(1, " ".join(a + b + a + c))], "item_id long, text string")
+    rows = []
+    for gone in combinations(range(1, 12), 2):
+        passage = ["other" if i in gone else w for i, w in enumerate(a + c)]
+        rows.append((len(rows), with_passage(len(rows), passage)))
+    found = decontamination.find_passages(make(rows), table).collect()
+    assert {(r.doc_id, r.start, r.overlap, r.equal) for r in found} == {(i, 30, 13, 11) for i, _ in rows}
+
+
+def brute_passages(docs, items, shortest=6):
+    """The longest overlap of each document and item over all alignments."""
+    out = set()
+    for number, text in docs:
+        tokens = text.lower().split()
+        for name, passage in items:
+            wanted, best = passage.lower().split(), None
+            if len(wanted) < shortest:
+                continue
+            for shift in range(1 - len(wanted), len(tokens)):
+                low, high = max(0, shift), min(len(tokens), shift + len(wanted))
+                equal = np.array([tokens[i] == wanted[i - shift] for i in range(low, high)], bool)
+                begin, size, same = decontamination.best_overlap(equal, 80)
+                if size >= min(13, len(wanted)):
+                    best = max(best or (0,), (size, same, -(low + begin)))
+            if best:
+                out.add((number, name, -best[2], *best[:2]))
+    return out
+
+
+def test_against_all_alignments(make, spark):
+    """Random items with many repeats, short ones too, and documents made of their pieces."""
+    pick = random.Random(31)
+    items = []
+    for i in range(30):
+        kinds = words(400 + i, pick.choice([2, 4, 9, 30]), 10**6)
+        items.append((i, " ".join(pick.choice(kinds) for _ in range(pick.choice([6, 7, 9, 12, 13, 14, 20, 35])))))
+    docs = []
+    for i in range(350):
+        name, passage = pick.choice(items)
+        piece = passage.split()[pick.randrange(4):] * pick.choice([1, 1, 2])
+        piece = [w if pick.random() > pick.choice([0, 0.1, 0.25]) else "other" for w in piece][:50]
+        docs.append((i, " ".join(words(i, 5) + piece + words(i + 500, 3))))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.find_passages(make(docs), table).drop("text_hash").collect()
+    expected = brute_passages(docs, items)
+    assert {tuple(r) for r in found} == expected and len(expected) > 100
+
+
 def test_longest_overlap():
     late = [i not in (4, 8) for i in range(13)]
     assert decontamination.best_overlap(np.array([True] * 12 + [False] * 30 + late), 80) == (42, 13, 11)
