@@ -73,7 +73,8 @@ def seeds_at(hashes: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(total)
 
 
-def _tests(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def filter_places(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each seed in a filter."""
     return (seeds & np.uint64(bits - 1)).astype(np.int64), (
         (seeds >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
@@ -153,7 +154,7 @@ def document_hits(docs: DataFrame, filtered: np.ndarray, numbers: list[int], con
                 where, what = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
                 for number, mask in masks:
                     seeds = seeds_at(hashes, mask, number)
-                    one, two = _tests(seeds, config.filter_bits)
+                    one, two = filter_places(seeds, config.filter_bits)
                     hit = np.flatnonzero(table[one])
                     hit = hit[table[two[hit]]]
                     # A mask must not reach into the next row.

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipquest.llm.components import components
+from clipquest.llm.decontamination import filter_places, seed_filter
 from clipquest.llm.rows import documents, free_names, mix, text_slices, word_hashes
 from clipquest.session import materialize
 
@@ -403,6 +404,24 @@ def _linked(sets: list[np.ndarray], split: int, percent: int) -> list[tuple[int,
     return out
 
 
+def candidate_texts(docs: DataFrame, placed: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """Documents whose text hash may be one of ``placed``: all of those, and few others.
+
+    A broadcast bit filter of fixed size keeps other texts out of the shuffle. A larger corpus fills it up and
+    lets more through, up to all texts once.
+    """
+    filtered = seed_filter(placed.select(F.array("text_hash").alias("seeds")), bits)
+    shared = docs.sparkSession.sparkContext.broadcast(filtered)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            one, two = filter_places(batch.column(2).to_numpy().view(np.uint64), bits)
+            yield batch.filter(pa.array(table[one] & table[two]))
+
+    return documents(docs).mapInArrow(keep, "doc_id bigint, text string, text_hash bigint")
+
+
 def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame,
                    similarity: Similarity) -> DataFrame:
     """``a, b``: true links that join the same sets as all true links do.
@@ -430,9 +449,9 @@ def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame,
         F.col("l.root").alias("root"), F.col("l.block").alias("one"), F.col("r.block").alias("two"))
     sides = pairs.select("root", "one", "two", F.explode(
         F.array_distinct(F.array("one", "two"))).alias("block"))
-    # Where few texts are candidates, their keys' stored size lets Spark broadcast them, and the others stay.
-    texts = documents(docs).withColumn("key", F.coalesce("doc_id", F.lit(_NO_ID))).join(
-        placed.select("key", "text_hash", "root", "block", "node"), ["key", "text_hash"])
+    texts = candidate_texts(docs, placed).withColumn("key", F.coalesce("doc_id", F.lit(_NO_ID))).join(
+        placed.select("key", "text_hash", "root", "block", "node").hint("shuffle_hash"),
+        ["key", "text_hash"])
     routed = texts.join(sides, ["root", "block"]).select(
         "text", "root", "one", "two", "block", "node")
     groups = routed.repartition("root", "one", "two").sortWithinPartitions(
