@@ -557,8 +557,9 @@ def all_oracles() -> dict[str, str]:
         "question_frames": _with(_FRAME_TABLES, _frame_rows("pos, id, video_path, tier", "chosen"), *_selected(STRICT),
                                  """chosen AS (SELECT h.pos, h.id, s.video_path, s.tier, coalesce(s.frames, []) AS frames
                                  FROM hinted h LEFT JOIN selected s ON s.id = h.id AND s.hints = h.hints)"""),
-        "strict_model_answers": _with(["questions"], _DONE, _ASKABLE, *_strict_passes(
-            "askable", "frame_count", STRICT.frames_sent, "pos")),
+        **dict.fromkeys(("strict_model_answers", "journaled_model_answers"), _with(
+            ["questions"], _DONE, _ASKABLE, *_strict_passes(
+                "askable", "frame_count", STRICT.frames_sent, "pos"))),
         "lenient_model_answers": _with(["questions"], _DONE, _ASKABLE, *_lenient_passes(
             "askable", "frame_count", LENIENT.frames_sent, True, False, "pos")),
         "remote_model_answers": _with(["questions"], _DONE, _ASKABLE, *_lenient_passes(

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.backends import tagged_backend
+from checks.backends import tagged_backend, unreachable_backend
 from checks.derived import table
 from clipquest.config import EvalConfig
 from clipquest.functions import frame_files, frame_times, prompts, replies, timecode
 from clipquest.operators import assets as asset_ops
 from clipquest.operators import frames as frame_ops
-from clipquest.operators import inference, items
+from clipquest.operators import frame_store, inference, items, journal
 from clipquest.operators.frame_index import frame_words, readable_prefix
 from clipquest.plans import evaluation
-from clipquest.session import materialize, ship_package
+from clipquest.session import materialize, scratch_dir, ship_package
 from clipquest.sources import answers as answer_sink
 from clipquest.sources.assets import assets_from_paths
 from clipquest.sources.frames import with_data_urls
@@ -534,6 +535,11 @@ def question_frames(spark, sf_dir):
 
 # Models
 
+def _scratch(spark, label: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{scratch_dir(spark)}/clipquest/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def _askable(spark, sf_dir) -> DataFrame:
     ship_package(spark, Path(__file__).parent)
     asked = items.valid_items(table(spark, sf_dir, "questions"))
@@ -551,6 +557,15 @@ def strict_model_answers(spark, sf_dir):
     return _answered(inference.answers(_askable(spark, sf_dir), tagged_backend, STRICT))
 
 
+@query
+def journaled_model_answers(spark, sf_dir):
+    """Each distinct request asked once into a journal, and all answers read from it by a second run."""
+    log = journal.Journal(_scratch(spark, "journal"), shared=True, rows_per_wave=20_000)
+    asked = _askable(spark, sf_dir)
+    inference.answers(asked, tagged_backend, STRICT, journal=log)
+    return _answered(inference.answers(asked, unreachable_backend, STRICT, journal=log))
+
+
 @query
 def lenient_model_answers(spark, sf_dir):
     return _answered(inference.answers(_askable(spark, sf_dir), tagged_backend, LENIENT))
@@ -587,6 +602,7 @@ def lenient_evaluation(spark, sf_dir):
 
 @query
 def remote_evaluation(spark, sf_dir):
-    """Everything together, with frames as data URLs; some frame files are missing."""
+    """Everything together; workers fetch packed frames and send data URLs; some files are missing."""
     chosen = materialize(_selected(spark, sf_dir, REMOTE), "frames")
-    return _evaluated(spark, sf_dir, REMOTE, selected=chosen, frame_files=_frame_files(chosen))
+    packed = frame_store.pack_frames(_frame_files(chosen), _scratch(spark, "packed"), buckets=16)
+    return _evaluated(spark, sf_dir, REMOTE, selected=chosen, frame_store=packed)

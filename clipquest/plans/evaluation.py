@@ -12,6 +12,7 @@ from clipquest.config import EvalConfig
 from clipquest.operators import frames as frame_ops
 from clipquest.operators.assets import best_assets
 from clipquest.operators.frame_index import frame_words
+from clipquest.operators.frame_store import Fetch, fetching_backend
 from clipquest.operators.inference import (PARSED_COLUMNS, BackendSpec, Dealing, answers,
                                            choose_backend)
 from clipquest.operators.items import item_key, valid_items, with_answers
@@ -89,14 +90,21 @@ def evaluate(items: DataFrame, tables: VideoTables,
              backend: Callable | dict[str, BackendSpec], config: EvalConfig,
              policy: SkewPolicy = SkewPolicy(), dealing: Dealing = Dealing(),
              selected: DataFrame | None = None, frame_files: DataFrame | None = None,
-             **asking) -> DataFrame:
+             frame_store: Callable[[], Fetch] | None = None, **asking) -> DataFrame:
     """Answer every valid item.
 
+    With a ``frame_store`` (``FolderFrames``, ``PackedFrames`` or the like) rows carry paths, and the workers
+    fetch and encode the frames of each call; ``frame_files``, a table of contents, sends
+    data URLs along with the rows and suits small ones. ``journal`` keeps replies
+    from one run to the next.
+
     ``backend`` makes a model, or is a registry from which the configuration's
     ``backend``, ``model_id``, ``backend_options`` and ``debug`` choose one.
     Model calls cost far more than bytes, so every pass deals its rows out evenly.
     """
     make_backend = choose_backend(config, backend) if isinstance(backend, dict) else backend
+    if frame_store is not None:
+        make_backend = fetching_backend(make_backend, frame_store)
     dealing = replace(dealing, by=dealing.by or item_key(items))
     rows = None
     if selected is None:
