@@ -101,26 +101,85 @@ def test_outliers_of_their_group(make):
     assert not any(rows[i] for i, _ in odd)
 
 
+def concentrated(x, prior, rules):
+    """Centre and covariance of the lowest determinant, by whole sorts in numpy."""
+    d, floor = x.shape[1], np.diag(np.square(rules.floors))
+    rank = lambda v, q: np.sort(v, axis=0)[max(0, int(np.ceil(q * len(v))) - 1)]
+    center = rank(x, 0.5)
+    spread = np.maximum((rank(x, 0.75) - rank(x, 0.25)) / 1.349, rules.floors)
+    z, best = (x - center) / spread, None
+    length = np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-12)
+    for shape in (np.zeros_like(z), np.tanh(z), z / length):
+        second = shape.T @ shape
+        scale = np.sqrt(np.maximum(np.diag(second), 1e-12))
+        cover = second / np.outer(scale, scale)
+        np.fill_diagonal(cover, 1)
+        cover, mean, last = cover * np.outer(spread, spread) + floor * 1e-3, center, np.inf
+        for _ in range(rules.steps):
+            off = x - mean
+            distance = np.einsum("ij,jk,ik->i", off, np.linalg.inv(cover), off)
+            near = x[distance <= rank(distance, rules.keep)]
+            n, sums, second = len(near), near.sum(0), near.T @ near
+            if prior:
+                n, sums = n + rules.prior, sums + rules.prior * prior[0]
+                second = second + rules.prior * (prior[1] + np.outer(prior[0], prior[0]))
+            mean = sums / n
+            raw = second / n - np.outer(mean, mean)
+            cover = raw + floor
+            now = np.linalg.slogdet(cover)[1]
+            assert now <= last + 1e-9
+            if last - now < 1e-12:
+                break
+            last = now
+        if best is None or now < best[0] - 1e-9:
+            best = now, mean, raw
+    return best[1:]
+
+
 def test_robust_distances_match_numpy(spark):
     random_ = np.random.default_rng(2)
-    x = random_.normal(0, 1, (500, quality_rules.STATISTICS))
-    x[:100] += 40
-    rows = spark.createDataFrame([("l", "s", v.tolist()) for v in x], "lang string, source string, x array<double>")
-    rules = quality_rules.OutlierRules(steps=6)
-    got = np.array([(*r.x, r.distance) for r in quality_rules.robust_outliers(rows, rules).collect()])
-    floor = np.diag(np.square(rules.floors))
-    inverse = np.diag(1 / np.square(np.maximum(
-        np.diff(np.quantile(x, [0.25, 0.75], axis=0), axis=0)[0] / 1.349, rules.floors)))
-    center = np.median(x, axis=0)
-    for _ in range(rules.steps):
-        off = x - center
-        distance = np.einsum("ij,jk,ik->i", off, inverse, off)
-        near = x[distance <= np.sort(distance)[int(0.75 * len(x)) - 1]]
-        center, inverse = near.mean(0), np.linalg.inv(np.cov(near.T, bias=True) + floor)
-    off = got[:, :-1] - center
-    want = np.einsum("ij,jk,ik->i", off, inverse, off)
-    assert np.allclose(got[:, -1], want, rtol=0.05)
-    assert got[:, -1][got[:, 0] > 20].min() > 10 * np.median(got[:, -1])
+    sizes = {("a", "one"): 1, ("a", "s"): 199, ("a", "t"): 200, ("a", "u"): 201, ("b", "s"): 40, ("b", "v"): 450}
+    x = {g: random_.normal(0, 1, (n, quality_rules.STATISTICS)) * (1 + i) + i
+         for i, (g, n) in enumerate(sizes.items())}
+    x["b", "v"][:90] += 40
+    rows = spark.createDataFrame([(*g, v.tolist()) for g in x for v in x[g]],
+                                 "lang string, source string, x array<double>")
+    rules = quality_rules.OutlierRules(settled=1e-9)
+    got = quality_rules.robust_outliers(rows.repartition(3), rules).collect()
+    whole = concentrated(np.concatenate(list(x.values())), None, rules)
+    by_lang = {l: concentrated(np.concatenate([v for g, v in x.items() if g[0] == l]), whole, rules) for l in "ab"}
+    for g in x:
+        center, cover = concentrated(x[g], by_lang[g[0]], rules)
+        inverse = np.linalg.inv(rules.consistency * cover + np.diag(np.square(rules.floors)))
+        found = np.array([(*r.x, r.distance) for r in got if (r.lang, r.source) == g])
+        off = found[:, :-1] - center
+        assert len(found) == sizes[g]
+        assert np.allclose(found[:, -1], np.einsum("ij,jk,ik->i", off, inverse, off), rtol=0.01)  # limits are quantile sketches
+    shifted = [r.distance for r in got if r.source == "v" and r.x[0] > 25]
+    assert len(shifted) == 90 and min(shifted) > rules.cut
+
+
+def test_cut_and_consistency():
+    rules = quality_rules.OutlierRules(beyond=0.001)
+    assert abs(rules.cut - 26.1245) < 1e-3
+    draws = np.random.default_rng(1).normal(0, 1, (200_000, quality_rules.STATISTICS))
+    lengths = (draws ** 2).sum(1)
+    near = draws[lengths <= np.quantile(lengths, rules.keep)]
+    assert abs(near.var() * rules.consistency - 1) < 0.01
+
+
+def test_verdicts_do_not_jump_with_a_groups_size(spark):
+    random_ = np.random.default_rng(4)
+    base = random_.normal(0, 1, (600, quality_rules.STATISTICS))
+    small, probe = random_.normal(0.5, 1, (201, quality_rules.STATISTICS)), [3.0] * quality_rules.STATISTICS
+    found = {}
+    for n in (1, 2, 199, 200, 201):
+        rows = [("l", "large", v.tolist()) for v in base] + [("l", "small", v.tolist()) for v in small[:n - 1]]
+        table = spark.createDataFrame([*rows, ("l", "small", probe)], "lang string, source string, x array<double>")
+        judged = quality_rules.robust_outliers(table, quality_rules.OutlierRules())
+        found[n] = judged.filter(judged.x[0] == 3.0).first().distance
+    assert abs(found[200] / found[199] - 1) < 0.05 and abs(found[201] / found[200] - 1) < 0.05
+    assert abs(found[2] / found[1] - 1) < 0.05
 
 
 @pytest.fixture(scope="module")
