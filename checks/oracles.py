@@ -453,6 +453,10 @@ def all_oracles() -> dict[str, str]:
               lang AS answer, n_chars AS extra FROM documents
             UNION ALL
             SELECT doc_id, 1, source, NULL, text || '?', NULL, NULL FROM documents""",
+        "large_array_items": """
+            SELECT doc_id, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id, text) - 1 AS pos,
+              'Yes/No' AS question_type, text AS question, lang AS answer, source AS second_tag,
+              CAST(NULL AS VARCHAR) AS file_error FROM documents""",
         "json_line_items": _with(["questions"], "SELECT pos, id, question_type, question, answer FROM questions"),
         "asset_manifest": _with(["paths"], "SELECT * FROM manifest", _MANIFEST),
         "answered_json_items": _with(["questions"], f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks.backends import tagged_backend, unreachable_backend
@@ -21,6 +21,7 @@ from clipquest.session import materialize, scratch_dir, ship_package
 from clipquest.sources import answers as answer_sink
 from clipquest.sources.assets import assets_from_paths
 from clipquest.sources.frames import with_data_urls
+from clipquest.sources.json_ranges import read_large_json_array
 from clipquest.sources.questions import explode_items, parse_items
 
 VIDEOS_DIR = "videos"
@@ -74,6 +75,26 @@ def json_array_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("item_json", "$.extra").cast("bigint").alias("extra"))
 
 
+@query
+def large_array_items(spark, sf_dir):
+    """Array files of 1,000 document ids each, written by Spark and read back by ranges of 64 KB."""
+    docs = table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / 1000))
+    one = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("Yes/No").alias("question_type"),
+                             F.col("text").alias("question"), F.array("lang", "source").alias("tags"),
+                             F.col("lang").alias("answer")))
+    rows = Window.partitionBy("part").orderBy("doc_id", "text")
+    placed = docs.withColumn("n", F.row_number().over(rows)).withColumn("after", F.lead("doc_id").over(rows))
+    lines = placed.select("part", "n", F.concat(
+        F.when(F.col("n") == 1, "[\n").otherwise(""), one,
+        F.when(F.col("after").isNull(), "\n]").otherwise(",")).alias("value"))
+    path = f"{scratch_dir(spark)}/arrays-{uuid.uuid4().hex}"
+    lines.sortWithinPartitions("part", "n").select("part", "value").write.partitionBy("part").text(path)
+    found = read_large_json_array(spark, f"{path}/*/*", range_bytes=1 << 16)
+    return found.select(
+        F.col("id").cast("bigint").alias("doc_id"), "pos", "question_type", "question", "answer",
+        F.get_json_object("item_json", "$.tags[1]").alias("second_tag"), "file_error")
+
+
 @query
 def unparseable_items(spark, sf_dir):
     """Texts that hold no JSON array: cut off, a single object, or no JSON at all."""
