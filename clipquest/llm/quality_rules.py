@@ -26,7 +26,9 @@ class OutlierRules:
     rows makes a jump. ``beyond`` is the share of normally distributed rows past the cut,
     a quantile of the chi-square distribution: 10^10 such rows lose none. ``floors`` are
     the smallest standard deviations that count, per statistic, so that constant ones say
-    nothing.
+    nothing. Quantiles (the starts' medians and spreads, and the distance that ``keep``
+    of the rows do not exceed) are off by at most one in ``ranks`` of a group's ranks;
+    they are exact, and with them the estimates, in groups of up to half as many rows.
     """
 
     keep: float = 0.75
@@ -34,6 +36,7 @@ class OutlierRules:
     settled: float = 0.01
     prior: float = 200.0
     beyond: float = 1e-12
+    ranks: int = 1000
     floors: tuple[float, ...] = (0.5, 0.1, 0.02, 0.15, 0.1, 0.03, 0.03, 0.05)
 
     @property
@@ -205,7 +208,7 @@ def _starts(rows: DataFrame, rules: OutlierRules) -> DataFrame:
     """
     d, floors = STATISTICS, np.array(rules.floors)
     quantiles = materialize(rows.groupBy("group").agg(*(
-        F.percentile_approx(F.get("x", i), [0.25, 0.5, 0.75], 1000).alias(f"q{i}")
+        F.percentile_approx(F.get("x", i), [0.25, 0.5, 0.75], rules.ranks).alias(f"q{i}")
         for i in range(d))).select(
             "group", F.array(*(F.get(f"q{i}", 1) for i in range(d))).alias("center"),
             F.array(*(F.greatest((F.get(f"q{i}", 2) - F.get(f"q{i}", 0)) / 1.349, F.lit(rules.floors[i]))
@@ -261,7 +264,7 @@ def _concentrated(rows: DataFrame, priors: DataFrame | None, rules: OutlierRules
     for step in range(rules.steps):
         near = _with_distance(rows, found)
         limit = materialize(near.groupBy(*keys).agg(
-            F.percentile_approx("distance", rules.keep, 1000).alias("limit")), "limits")
+            F.percentile_approx("distance", rules.keep, rules.ranks).alias("limit")), "limits")
         inside = near.join(limit, [*keys]).filter("distance <= limit")
         moments = _moments(inside, *keys, "parent")
         if priors is not None:
