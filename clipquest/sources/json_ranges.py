@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ RANGE_BYTES = 4 << 20
 # Ranges whose prefix sums one task works out together.
 _BLOCK = 1024
 _LOOK_BACK = 256
+# First bytes read beyond a range for the rest of its last element; each read after it doubles.
+_READ_ON = 1 << 13
 
 
 def open_file(path: str):
@@ -31,6 +34,15 @@ def open_file(path: str):
     return files.open_input_file(place)
 
 
+def by_file(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """An open file and a row, for every row of ``batch``; each file is opened once."""
+    rows = sorted(batch.to_pylist(), key=lambda r: (r["path"], r["start"]))
+    for path, ranges in groupby(rows, key=lambda r: r["path"]):
+        with open_file(path) as file:
+            for row in ranges:
+                yield file, row
+
+
 def is_escaped(file, start: int) -> bool:
     """Whether an odd run of backslashes ends right before ``start``."""
     run, end = 0, start
@@ -102,10 +114,9 @@ def _summaries(ranges: DataFrame, size: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                with open_file(row["path"]) as file:
-                    escaped = is_escaped(file, row["start"])
-                    data = file.read_at(size, row["start"])
+            for file, row in by_file(batch):
+                escaped = is_escaped(file, row["start"])
+                data = file.read_at(size, row["start"])
                 quotes, kind = structure(data, escaped)
                 both = [commas(quotes, kind, inside) for inside in (0, 1)]
                 counts = [list(zip(*(v.tolist() for v in np.unique(depths, return_counts=True))))
@@ -167,9 +178,8 @@ def _elements(ranges: DataFrame, size: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                with open_file(row["path"]) as file:
-                    yield one(file, row)
+            for file, row in by_file(batch):
+                yield one(file, row)
 
     def parting(data: bytes, escaped: bool, inside: int, depth: int) -> tuple[np.ndarray, int, int]:
         quotes, kind = structure(data, escaped)
@@ -183,11 +193,11 @@ def _elements(ranges: DataFrame, size: int) -> DataFrame:
         begins = [*([0] if start == 0 else []), *(cuts + 1).tolist()]
         pieces = [data[low:high - 1] for low, high in zip(begins, begins[1:])]
         if begins:
-            last, end = [data[begins[-1]:]], start + len(data)
-            while more := file.read_at(size, end):
+            last, end, step = [data[begins[-1]:]], start + len(data), min(size, _READ_ON)
+            while more := file.read_at(step, end):
                 cut, inside, depth = parting(more, is_escaped(file, end), inside, depth)
                 last.append(more[:cut[0]] if len(cut) else more)
-                end += len(more)
+                end, step = end + len(more), min(size, 2 * step)
                 if len(cut):
                     break
             pieces.append(b"".join(last))
