@@ -463,6 +463,12 @@ def all_oracles() -> dict[str, str]:
             SELECT pos, id, question, pos AS meta_n, model_answer, model_raw,
               coalesce(model_rationale, 'kept') AS model_rationale, video_path
             FROM (SELECT *, {_ANSWER_COLUMNS} FROM valid)""", _VALID),
+        "written_answers": _with(["questions"], f"""
+            SELECT sink, count(*) AS reported, count(*) AS read_back,
+              count(*) FILTER (model_answer <> '') AS answered
+            FROM (SELECT *, {_ANSWER_COLUMNS} FROM valid)
+              CROSS JOIN (VALUES ('json_array'), ('json_lines'), ('parquet')) AS sinks (sink)
+            GROUP BY sink""", _VALID),
         "frame_data_urls": f"SELECT doc_id, 'data:' || {image_type} || ';base64,' || base64(encode(text)) AS data_url FROM documents",
         "frame_paths": _with(["paths"], f"""
             SELECT id, {_frame_path(seek)} AS seek_path,

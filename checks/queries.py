@@ -151,6 +151,30 @@ def answered_json_items(spark, sf_dir):
         "r.model_raw", "r.model_rationale", "r.video_path")
 
 
+@query
+def written_answers(spark, sf_dir):
+    """Per sink: the items that it says it wrote, those read back, and those of them with an answer."""
+    rows = materialize(_plain_answers(items.valid_items(table(spark, sf_dir, "questions"))), "answers")
+    path = f"{scratch_dir(spark)}/answers-{uuid.uuid4().hex}"
+    said = {"json_array": answer_sink.write_json_array(rows, f"{path}/json_array", ("pos",)),
+            "json_lines": answer_sink.write_json_lines(rows, f"{path}/json_lines"),
+            "parquet": answer_sink.write_parquet(rows, f"{path}/parquet")}
+
+    def texts(sink, value):
+        found = F.from_json(value, "id string, model_answer string")
+        return spark.read.text(f"{path}/{sink}").select(found.alias("r")).select("r.id", "r.model_answer")
+
+    # An element's line opens with a bracket or comma; the last one ends with a bracket.
+    element = F.regexp_replace("value", r"\A[\[,]|\]\z", "")
+    read = {"json_array": texts("json_array", element), "json_lines": texts("json_lines", F.col("value")),
+            "parquet": spark.read.parquet(f"{path}/parquet").select("id", "model_answer")}
+    counts = [found.agg(
+        F.lit(sink).alias("sink"), F.lit(said[sink]).cast("bigint").alias("reported"),
+        F.count("id").alias("read_back"), F.count_if(F.col("model_answer") != "").alias("answered"))
+        for sink, found in read.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 @query
 def frame_data_urls(spark, sf_dir):
     """Whole texts as file content, under names of several image types."""
