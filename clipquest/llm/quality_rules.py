@@ -27,8 +27,8 @@ class OutlierRules:
     a quantile of the chi-square distribution: 10^10 such rows lose none. ``floors`` are
     the smallest standard deviations that count, per statistic, so that constant ones say
     nothing. Quantiles (the starts' medians and spreads, and the distance that ``keep``
-    of the rows do not exceed) are off by at most one in ``ranks`` of a group's ranks;
-    they are exact, and with them the estimates, in groups of up to half as many rows.
+    of the rows do not exceed) are off by at most about one in ``ranks`` of a group's
+    ranks, and exact in groups of fewer than half as many rows.
     """
 
     keep: float = 0.75
