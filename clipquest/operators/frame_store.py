@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import OrderedDict
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -70,18 +71,28 @@ def pack_frames(files: DataFrame, target: str, buckets: int = 64, row_group: int
 
 @dataclass(frozen=True)
 class PackedFrames:
-    """Frames packed by :func:`pack_frames` at ``target``."""
+    """Frames packed by :func:`pack_frames` at ``target``.
+
+    A worker keeps the buckets' footers and the last row group of each, so paths
+    asked for in rising order cost one reading of the range that they span.
+    """
 
     target: str
     buckets: int = 64
 
     def __call__(self) -> Fetch:
-        import pyarrow.compute as pc
-        import pyarrow.dataset as ds
         from pyarrow import fs
 
         address = self.target.removeprefix("file:") if self.target.startswith("file:") else self.target
         files, base = fs.FileSystem.from_uri(address) if "://" in address else (fs.LocalFileSystem(), address)
+        opened: dict[int, list[_SortedFile]] = {}
+
+        def bucket_files(bucket: int) -> list[_SortedFile]:
+            if bucket not in opened:
+                found = files.get_file_info(fs.FileSelector(f"{base}/bucket={bucket}", allow_not_found=True))
+                opened[bucket] = [_SortedFile(files.open_input_file(info.path)) for info in found
+                                  if info.is_file and not info.base_name.startswith((".", "_"))]
+            return opened[bucket]
 
         def fetch(paths: list[str]) -> dict[str, bytes]:
             wanted: dict[int, list[str]] = {}
@@ -89,17 +100,53 @@ class PackedFrames:
                 wanted.setdefault(bucket_of(path, self.buckets), []).append(path)
             out: dict[str, bytes] = {}
             for bucket, names in wanted.items():
-                folder = f"{base}/bucket={bucket}"
-                if files.get_file_info(folder).type != fs.FileType.Directory:
-                    continue
-                found = ds.dataset(folder, format="parquet", filesystem=files).to_table(
-                    columns=["path", "content"], filter=pc.field("path").isin(names))
-                out.update(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+                for packed in bucket_files(bucket):
+                    out.update(packed.contents(sorted(names)))
             return out
 
         return fetch
 
 
+class _SortedFile:
+    """One packed file, sorted by path: the ranges of its row groups, and the last one read.
+
+    Requests in the order of their paths read each row group once.
+    """
+
+    def __init__(self, source):
+        import pyarrow.parquet as pq
+
+        self.file = pq.ParquetFile(source)
+        place = self.file.schema_arrow.get_field_index("path")
+        groups = (self.file.metadata.row_group(i).column(place) for i in range(self.file.num_row_groups))
+        bounds = [g.statistics for g in groups]
+        known = all(b is not None and b.has_min_max for b in bounds)
+        # Without bounds, as paths of over 4 KB leave it, every row group may hold a path.
+        self.first = [b.min for b in bounds] if known else None
+        self.last = [b.max for b in bounds] if known else None
+        self.number, self.paths, self.bytes = None, None, None
+
+    def _groups(self, name: str) -> Iterable[int]:
+        if self.first is None:
+            return range(self.file.num_row_groups)
+        group = bisect_right(self.first, name) - 1
+        return (group,) if group >= 0 and name <= self.last[group] else ()
+
+    def contents(self, names: list[str]) -> Iterable[tuple[str, bytes]]:
+        """Those of the names that the file has; in their order, row groups are read in theirs."""
+        for name in names:
+            for group in self._groups(name):
+                if group != self.number:
+                    table = self.file.read_row_group(group, columns=["path", "content"])
+                    self.paths, self.bytes = (table.column(i).combine_chunks() for i in (0, 1))
+                    self.number = group
+                rows = len(self.paths)
+                row = bisect_left(range(rows), name, key=lambda i: self.paths[i].as_py())
+                if row < rows and self.paths[row].as_py() == name:
+                    yield name, self.bytes[row].as_py()
+                    break
+
+
 class _Recent:
     """Encoded frames of the last requests, up to a number of bytes; plans share many."""
 

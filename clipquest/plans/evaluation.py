@@ -94,7 +94,7 @@ def evaluate(items: DataFrame, tables: VideoTables,
     """Answer every valid item.
 
     With a ``frame_store`` (``FolderFrames``, ``PackedFrames`` or the like) rows carry paths, and the workers
-    fetch and encode the frames of each call; ``frame_files``, a table of contents, sends
+    fetch and encode the frames of each call, dealt in the order of their paths; ``frame_files``, a table of contents, sends
     data URLs along with the rows and suits small ones. ``journal`` keeps replies
     from one run to the next.
 
@@ -105,7 +105,8 @@ def evaluate(items: DataFrame, tables: VideoTables,
     make_backend = choose_backend(config, backend) if isinstance(backend, dict) else backend
     if frame_store is not None:
         make_backend = fetching_backend(make_backend, frame_store)
-    dealing = replace(dealing, by=dealing.by or item_key(items))
+    dealing = replace(dealing, by=dealing.by or item_key(items),
+                      by_frames=dealing.by_frames or frame_store is not None)
     rows = None
     if selected is None:
         keys = stored_keys(frame_ops.with_hints(valid_items(items), config))

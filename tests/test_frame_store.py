@@ -98,3 +98,49 @@ def test_urls_are_those_of_the_expression(spark):
     df = spark.createDataFrame(rows, "path string, content binary")
     found = df.select("path", frame_files.data_url(F.col("content"), F.col("path")).alias("url")).collect()
     assert {r.path: r.url for r in found} == {p: frame_store.data_url(p, c) for p, c in rows}
+
+
+def test_paths_in_order_read_each_row_group_once(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    names = [f"r/{n:05}.jpg" for n in range(6000)]
+    files = spark.createDataFrame([(n, n.encode() * 30) for n in names], "path string, content binary")
+    packed = frame_store.pack_frames(files, str(tmp_path / "packed"), buckets=2, row_group=20_000)
+    read, whole = [], pq.ParquetFile.read_row_group
+
+    def spy(self, i, *args, **kwargs):
+        read.append((id(self), i))
+        return whole(self, i, *args, **kwargs)
+
+    monkeypatch.setattr(pq.ParquetFile, "read_row_group", spy)
+    fetch = packed()
+    for start in range(0, len(names), 50):
+        wanted = names[start:start + 50]
+        assert fetch([*wanted, "none", "r/00000.jpg0", "~"]) == {n: n.encode() * 30 for n in wanted}
+    # A name that is absent may fall into a row group's range.
+    assert len(set(read)) > 8 and len(read) < len(set(read)) + 2 * 120
+    read.clear()
+    fetch = packed()
+    for start in range(0, len(names), 50):
+        fetch(names[start:start + 50])
+    assert len(read) == len(set(read)) > 8
+    assert packed()(names[::-7]) == {n: n.encode() * 30 for n in names[::-7]}
+
+
+def test_row_groups_without_bounds_are_searched(spark, tmp_path):
+    names = ["r/" + "x" * 5000 + str(n) for n in range(40)] + ["a", "z"]
+    files = spark.createDataFrame([(n, n.encode()) for n in names], "path string, content binary")
+    packed = frame_store.pack_frames(files, str(tmp_path / "packed"), buckets=1, row_group=20_000)
+    assert packed()([*names, "none"]) == {n: n.encode() for n in names}
+
+
+def test_tasks_take_ranges_of_frames(spark):
+    rows = spark.range(3000).select(
+        F.col("id").alias("pos"), F.array(F.struct(F.when(
+            F.col("id") % 10 > 0, F.concat(F.lit("f"), F.crc32(F.col("id").cast("string")) % 300)).alias("path"))
+        ).alias("frames"))
+    dealt = inference.Dealing(partitions=5, by_frames=True).deal(rows, 3000)
+    tasks = dealt.select(F.spark_partition_id().alias("task"), F.col("frames.path")[0].alias("path"), "pos").collect()
+    paths = [[r.path or "" for r in tasks if r.task == n] for n in range(5)]
+    assert len({r.pos for r in tasks}) == len(tasks) == 3000
+    assert sum(paths, []) == sorted(sum(paths, [])) and min(map(len, paths)) > 200
