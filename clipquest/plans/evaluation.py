@@ -112,8 +112,13 @@ def evaluate(items: DataFrame, tables: VideoTables,
         keys = stored_keys(frame_ops.with_hints(valid_items(items), config))
         selected = materialize(frames_of_keys(keys, tables, config, policy), "frames")
         rows = keys.agg(F.sum(ROWS)).first()[0] or 0
-    prepared = prepare(items, tables, config, policy, dealing.by, selected, frame_files)
+    prepared = prepare(items, tables, config, policy, dealing.by, selected, frame_files).drop("tier")
+    if "urls" in prepared.columns:
+        prepared = prepared.drop("frames")
+    else:  # of a frame, only its path is asked with
+        sent = F.slice("frames", 1, config.frames_sent)
+        prepared = prepared.withColumn("frames", F.transform(sent, lambda f: F.struct(f["path"].alias("path"))))
     answered = answers(prepared, make_backend, config, dealing=dealing, rows=rows, **asking)
     parsed = [F.col(f"parsed_{name}") for name in ("answer", "raw", "rationale")]
     shaped = with_answers(answered, *parsed, F.col("video_path"), config.keep_rationale)
-    return shaped.drop(*PARSED_COLUMNS, "frames", "tier", "frame_error", "urls")
+    return shaped.drop(*PARSED_COLUMNS, "frames", "frame_error", "urls")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clipquest.config import EvalConfig
 from clipquest.operators import inference
 from clipquest.operators.inference import BackendSpec, Dealing, ask, choose_backend
-from clipquest.operators.worker import PreprocessError, ask_many
+from clipquest.operators.worker import PreprocessError, ask_many, python_values
 
 STRICT, LENIENT = EvalConfig.strict(), EvalConfig.lenient()
 
@@ -243,3 +243,25 @@ def test_backend_choice():
         choose_backend(EvalConfig.remote(), registry)
     config = EvalConfig.remote().with_options(model="m", api_key="k")
     assert choose_backend(config, registry)()["temperature"] == 0.0
+
+
+def test_spent_columns_stay_in_the_workers(spark):
+    rows = items(spark, 3).withColumn("messages", inference.messages_for(STRICT, F.col("frames.path")))
+    assert ask(rows, scripted(["Yes"]), spent=("messages",)).columns == [*rows.drop("messages").columns, "reply", "error"]
+    assert ask(rows, scripted(["Yes"])).columns == [*rows.columns, "reply", "error"]
+    found = ask(rows, scripted(["Yes"]), spent=("messages", "bare_messages")).collect()
+    assert [(r.pos, r.reply, len(r.frames)) for r in sorted(found)] == [(n, "Yes", 9) for n in range(3)]
+
+
+def test_requests_are_the_values_of_their_columns():
+    import pyarrow as pa
+
+    part = {"type": "text", "text": "q\u00e9", "refs": None}
+    values = [[{"role": "user", "content": [part, {"type": "video", "text": None, "refs": ["a", None, "b"]}]}],
+              None, [], [None, {"role": None, "content": None}], [{"role": "system", "content": [None, part]}]]
+    array = pa.array(values)
+    for start in range(6):
+        for size in range(6):
+            assert python_values(array.slice(start, size)) == array.slice(start, size).to_pylist()
+    for other in (pa.array([1, None, 3]), pa.array([None, None]), pa.array(["x", None])):
+        assert python_values(other) == other.to_pylist()
