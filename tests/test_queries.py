@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from checks.compare import compare, connection
@@ -40,3 +41,15 @@ def test_differences_are_seen(spark, duck):
 
 def test_entry(spark):
     assert entry_points.entry(spark).limit(5).count() == 5
+
+
+def test_frames_of_large_splits_are_made_in_many_tasks(spark, tmp_path):
+    """One split of narrow rows; a task that gave them their frames would hold them all."""
+    from checks.queries import _askable
+
+    events = spark.range(200, numPartitions=1).selectExpr(
+        "id AS event_id", "timestamp_seconds(id) AS ts", "id % 9 AS user_id", "'view' AS event_type",
+        "1.0 AS value", "'{}' AS props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    tasks = _askable(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 150
