@@ -118,17 +118,23 @@ class Trainer:
             p[name] -= (self.config.rate * gradient / np.sqrt(self.sums[name])).astype("f4")
 
 
-def class_scores(p: Parameters, codes: np.ndarray, starts: np.ndarray, block: int = 8192
+def class_scores(p: Parameters, codes: np.ndarray, starts: np.ndarray, block: int = 1024
                  ) -> np.ndarray:
-    """log10 of each token's class probability, normalised over all classes."""
+    """log10 of each token's class probability, normalised over all classes.
+
+    A block's scores of all classes fit a core's cache.
+    """
     before = contexts(codes, starts, len(p["weigh"]))
-    out = np.empty(len(codes))
+    weighed, nexts = [p["seen"] * w for w in p["weigh"]], np.ascontiguousarray(p["next"].T)
+    out, rows = np.empty(len(codes)), np.arange(block)
     for low in range(0, len(codes), block):
         part = slice(low, low + block)
-        scores = _predicted(p, before[:, part]) @ p["next"].T + p["bias"]
-        target = scores[np.arange(len(scores)), codes[part]]
+        scores = sum(w[b] for w, b in zip(weighed, before[:, part])) @ nexts
+        scores += p["bias"]
+        target = scores[rows[:len(scores)], codes[part]]
         top = scores.max()
-        sums = np.exp(scores - top).sum(1)
+        powers = scores - top
+        sums = np.exp(powers, out=powers).sum(1)
         far = sums < 1e-30
         logs = np.log(np.where(far, 1, sums)) + top
         if far.any():
