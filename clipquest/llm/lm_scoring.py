@@ -118,25 +118,32 @@ class Trainer:
             p[name] -= (self.config.rate * gradient / np.sqrt(self.sums[name])).astype("f4")
 
 
-def class_scores(p: Parameters, codes: np.ndarray, starts: np.ndarray, block: int = 1024
-                 ) -> np.ndarray:
+def class_scores(p: Parameters, codes: np.ndarray, starts: np.ndarray, block: int = 8192,
+                 step: int = 512) -> np.ndarray:
     """log10 of each token's class probability, normalised over all classes.
 
-    A block's scores of all classes fit a core's cache.
+    Blocks share their memory, and of a block ``step`` tokens at a time are
+    raised to powers, so that those stay in a core's cache.
     """
     before = contexts(codes, starts, len(p["weigh"]))
-    weighed, nexts = [p["seen"] * w for w in p["weigh"]], np.ascontiguousarray(p["next"].T)
+    weighed, nexts = [p["seen"] * w for w in p["weigh"]], p["next"].T
     out, rows = np.empty(len(codes)), np.arange(block)
+    room = np.empty((min(block, len(codes)), len(p["bias"])), "f4")
+    powers, sums = np.empty((step, len(p["bias"])), "f4"), np.empty(block, "f4")
     for low in range(0, len(codes), block):
         part = slice(low, low + block)
-        scores = sum(w[b] for w, b in zip(weighed, before[:, part])) @ nexts
+        guess = sum(w[b] for w, b in zip(weighed, before[:, part]))
+        scores, total = room[:len(guess)], sums[:len(guess)]
+        np.matmul(guess, nexts, out=scores)
         scores += p["bias"]
         target = scores[rows[:len(scores)], codes[part]]
         top = scores.max()
-        powers = scores - top
-        sums = np.exp(powers, out=powers).sum(1)
-        far = sums < 1e-30
-        logs = np.log(np.where(far, 1, sums)) + top
+        for at in range(0, len(scores), step):
+            some = scores[at:at + step]
+            few = np.subtract(some, top, out=powers[:len(some)])
+            np.exp(few, out=few).sum(1, out=total[at:at + step])
+        far = total < 1e-30
+        logs = np.log(np.where(far, 1, total)) + top
         if far.any():
             peak = scores[far].max(1)
             logs[far] = np.log(np.exp(scores[far] - peak[:, None]).sum(1)) + peak
