@@ -94,7 +94,8 @@ def fitted(sample: DataFrame, features: Callable, fit: Callable[[Rows, np.ndarra
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, labels = [], []
         for batch in batches:
-            rows += [np.frombuffer(x.as_py(), "<i4") for x in batch.column(3)]
+            # Views of Arrow's memory, which is given back whole; small copies would leave holes in the worker's.
+            rows += [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column(3)]
             labels += batch.column(2).to_pylist()
         if rows:
             yield pa.record_batch([pa.array([fit(rows, np.array(labels))], pa.binary())], ["model"])

@@ -304,3 +304,10 @@ def test_empty_tables(spark, folder, make, tmp_path):
     for name in ("benchmark", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").filter("false").write.parquet(f"{where}/{name}.parquet")
     assert corpus_pipeline.run(spark, where).count() == 0
+
+
+def test_token_ids_have_one_python_step_a_task(spark, make):
+    """Two steps in one task are two workers, and executors keep the memory of both when they are idle."""
+    plan = corpus_pipeline.token_ids(spark, make([(1, "one two"), (2, None)]), "")._jdf.queryExecution(
+        ).executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan

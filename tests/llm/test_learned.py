@@ -8,8 +8,9 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest_llm import edge_rows, sorted_rows, words
+from pyspark.sql import functions as F
 
-from clipquest.llm import lm_scoring, quality_classifier, quality_rules, toxicity
+from clipquest.llm import features, lm_scoring, quality_classifier, quality_rules, toxicity
 
 
 def held_out(i, folds):
@@ -293,3 +294,19 @@ def test_class_scores_hold_one_block_at_a_time():
         expected = (scores - top - np.log(np.exp(scores - top).sum(1, keepdims=True))) / np.log(10)
         found = lm_scoring.class_scores(p, codes, starts)
         assert np.allclose(found, expected[np.arange(len(codes)), codes], rtol=1e-3, atol=1e-3)
+
+
+def test_fits_read_features_from_arrow_memory(make, labels):
+    """Copies of each row's features left the worker of a fit with some 100 MB that it could not give back."""
+    sample = features.labelled_sample(make([(i, f"text {i}") for i in range(1, 30)] + [(30, "")]), labels,
+                                      F.col("quality"), F.lit(True), 100)
+
+    def own(data, offsets):
+        return [np.arange(b - a) for a, b in zip(offsets[:-1], offsets[1:])]
+
+    def fit(rows, known):
+        bases = {type(r.base).__name__ for r in rows}
+        return repr((sorted(bases), len(rows), sum(len(r) for r in rows))).encode()
+
+    size = sum(len(f"text {i}") for i in range(1, 30))
+    assert features.fitted(sample, own, fit, b"") == repr((["Buffer"], 29, size)).encode()
