@@ -6,6 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -65,15 +66,9 @@ def contexts(codes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _predicted(p: Parameters, before: np.ndarray) -> np.ndarray:
-    return sum(p["seen"][before[i]] * p["weigh"][i] for i in range(len(before)))
-
-
-def _added(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-    """Sums of the rows of ``values`` by ``index``."""
-    width = values.shape[1]
-    flat = (index[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(flat, values.ravel(), rows * width).reshape(rows, width)
+def _added(index: np.ndarray, columns: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of ``columns``, a row for each of the result's, by ``index``; added up in its order."""
+    return np.stack([np.bincount(index, column, rows) for column in columns], 1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -99,20 +94,24 @@ class Trainer:
     def _step(self, target: np.ndarray, before: np.ndarray) -> None:
         p, classes = self.p, self.config.classes
         noise = self.random.choice(classes, self.config.noise, p=self.share)
-        guess = _predicted(p, before)
-        true = (guess * p["next"][target]).sum(1) + p["bias"][target] - self.log_noise[target]
+        # Rows are taken once a step; ``take`` copies them several times as fast as an index does.
+        seen, nexts = [p["seen"].take(b, 0) for b in before], p["next"].take(target, 0)
+        guess = sum(s * w for s, w in zip(seen, p["weigh"]))
+        true = (guess * nexts).sum(1) + p["bias"][target] - self.log_noise[target]
         false = guess @ p["next"][noise].T + p["bias"][noise] - self.log_noise[noise]
         off_true, off_false = _sigmoid(true) - 1, _sigmoid(false)
-        back = off_true[:, None] * p["next"][target] + off_false @ p["next"][noise]
-        nexts = _added(target, off_true[:, None] * guess, classes)
+        back = off_true[:, None] * nexts + off_false @ p["next"][noise]
+        nexts = _added(target, (off_true[:, None] * guess).T.astype("f8"), classes)
         np.add.at(nexts, noise, off_false.T @ guess)
         bias = np.bincount(target, off_true, classes)
         np.add.at(bias, noise, off_false.sum(0))
-        seen = [p["seen"][b] for b in before]
+        columns, across = np.ascontiguousarray(back.T), np.empty((back.shape[1], *before.shape))
+        for i, w in enumerate(p["weigh"]):
+            np.multiply(columns, w[:, None], out=across[:, i])
         gradients = {
             "next": nexts, "bias": bias,
-            "weigh": np.stack([(back * s).sum(0) for s in seen]),
-            "seen": _added(before.ravel(), np.concatenate([back * w for w in p["weigh"]]), classes)}
+            "weigh": np.stack([np.einsum("ij,ij->j", back, s) for s in seen]),
+            "seen": _added(before.ravel(), across.reshape(len(across), -1), classes)}
         for name, gradient in gradients.items():
             self.sums[name] += gradient ** 2
             p[name] -= (self.config.rate * gradient / np.sqrt(self.sums[name])).astype("f4")
@@ -123,7 +122,7 @@ def class_scores(p: Parameters, codes: np.ndarray, starts: np.ndarray, block: in
     """log10 of each token's class probability, normalised over all classes.
 
     Blocks share their memory, and of a block ``step`` tokens at a time are
-    raised to powers, so that those stay in a core's cache.
+    scored and then raised to powers, so that those stay in a core's cache.
     """
     before = contexts(codes, starts, len(p["weigh"]))
     weighed, nexts = [p["seen"] * w for w in p["weigh"]], p["next"].T
@@ -132,12 +131,14 @@ def class_scores(p: Parameters, codes: np.ndarray, starts: np.ndarray, block: in
     powers, sums = np.empty((step, len(p["bias"])), "f4"), np.empty(block, "f4")
     for low in range(0, len(codes), block):
         part = slice(low, low + block)
-        guess = sum(w[b] for w, b in zip(weighed, before[:, part]))
+        guess = sum(w.take(b, 0) for w, b in zip(weighed, before[:, part]))
         scores, total = room[:len(guess)], sums[:len(guess)]
-        np.matmul(guess, nexts, out=scores)
-        scores += p["bias"]
+        top = np.float32(-np.inf)
+        for at in range(0, len(scores), step):
+            some = np.matmul(guess[at:at + step], nexts, out=scores[at:at + step])
+            some += p["bias"]
+            top = max(top, some.max())
         target = scores[rows[:len(scores)], codes[part]]
-        top = scores.max()
         for at in range(0, len(scores), step):
             some = scores[at:at + step]
             few = np.subtract(some, top, out=powers[:len(some)])
@@ -163,13 +164,14 @@ class Vocabulary:
     by_ending: dict[bytes, int]
     share: np.ndarray
 
-    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[dict]]:
-        """Classes of all tokens, each text's start, known numbers and other words of each."""
-        get, ending, rest = self.numbers.get, self.by_ending.get, self.config.classes - 1
+    def read(self, texts: pa.Array, counted: bool = True
+             ) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[dict]]:
+        """Classes of all tokens, each text's start and, if ``counted``, known numbers and other words of each."""
+        get, ending, rest, none = self.numbers.get, self.by_ending.get, self.config.classes - 1, repeat(-1)
         codes, starts, numbers, others, at = [], [], [], [], 0
         for text in texts:
             words = ascii_words(text.as_py())
-            found = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+            found = np.fromiter(map(get, words, none), np.int64, len(words))
             kinds = self.classes[found]
             missing = np.flatnonzero(found < 0)
             other = [words[i] for i in missing.tolist()]
@@ -177,12 +179,42 @@ class Vocabulary:
                 kinds[missing] = [ending(w[-2:], rest) for w in other]
             codes += [kinds, _END]
             starts.append(at)
-            numbers.append(found[found >= 0])
-            others.append(Counter(other))
+            if counted:
+                numbers.append(found[found >= 0])
+                others.append(Counter(other))
             at += len(words) + 1
         return np.concatenate(codes), np.array(starts), numbers, others
 
 
+    def rows(self, part: pa.RecordBatch, others: list[dict], known: list[int], base: list[float],
+             model: list[float], lengths: np.ndarray) -> pa.RecordBatch:
+        """A row of each text's sums, followed by one for each of its other words."""
+        sizes = np.array([len(other) + 1 for other in others])
+        heads = np.cumsum(sizes) - sizes
+        text = pa.array(np.repeat(np.arange(len(others)), sizes))
+        names, counts = [], []
+        for digest, n, other in zip(part.column(1).to_pylist(), known, others):
+            names.append(NO_WORD + digest.to_bytes(8, "little", signed=True))
+            names += other
+            counts.append(n)
+            counts += other.values()
+        head = np.zeros(len(names), bool)
+        head[heads] = True
+        ending, rest = self.by_ending.get, self.config.classes - 1
+
+        def at_heads(values: list[float] | np.ndarray, kind: pa.DataType) -> pa.Array:
+            spread = np.zeros(len(names), kind.to_pandas_dtype())
+            spread[heads] = values
+            return pa.array(spread, kind, mask=~head)
+
+        kinds = np.array([ending(name[-2:], rest) for name in names], np.int32)
+        return pa.record_batch(
+            [part.column(0).take(text), part.column(1).take(text), pa.array(names, pa.binary()),
+             pa.array(counts, pa.int64()), pa.array(kinds, mask=head), at_heads(base, pa.float64()),
+             at_heads(model, pa.float64()), at_heads(lengths, pa.int64())],
+            ["doc_id", "text_hash", "word", "n", "kind", "base", "model", "n_tokens"])
+
+
 _END = np.zeros(1, np.int64)
 
 
@@ -202,7 +234,7 @@ def train(rows: DataFrame, shared, start: Parameters) -> Parameters:
         trainer = Trainer(words.config, words.share, start)
         for batch in batches:
             for part in _parts(batch, 0):
-                codes, starts, _, _ = words.read(part.column(0))
+                codes, starts, _, _ = words.read(part.column(0), counted=False)
                 trainer.learn(codes, starts)
         if trainer.tokens:
             flat = np.concatenate([trainer.p[n].ravel() for n in names]).astype("f8") * trainer.tokens
@@ -295,26 +327,14 @@ def score_documents(docs: DataFrame, config: LogBilinear = LogBilinear()) -> Dat
         words = shared.value
         for batch in batches:
             for part in _parts(batch, 2):
-                ids, hashes = part.column(0).to_pylist(), part.column(1).to_pylist()
                 codes, starts, known, others = words.read(part.column(2))
                 sums = np.add.reduceat(class_scores(model, codes, starts), starts)
-                out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
                 lengths = np.diff(np.append(starts, len(codes)))
-                for i, other in enumerate(others):
-                    row = (ids[i], hashes[i], NO_WORD + hashes[i].to_bytes(8, "little", signed=True),
-                           len(known[i]) + (n_docs > 0), None, end_base + words.base[known[i]].sum(),
-                           sums[i] + words.inside[known[i]].sum(), int(lengths[i]))
-                    for values, value in zip(out, row):
-                        values.append(value)
-                    for word, n in other.items():
-                        kind = words.by_ending.get(word[-2:], config.classes - 1)
-                        for values, value in zip(out, (ids[i], hashes[i], word, n, kind, None, None, None)):
-                            values.append(value)
-                yield pa.record_batch([pa.array(v, t) for v, t in zip(out, types)], columns)
-
-    columns = ["doc_id", "text_hash", "word", "n", "kind", "base", "model", "n_tokens"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.float64(),
-             pa.float64(), pa.int64()]
+                yield words.rows(
+                    part, others, [len(k) + (n_docs > 0) for k in known],
+                    [end_base + words.base[k].sum() for k in known],
+                    [s + words.inside[k].sum() for s, k in zip(sums, known)], lengths)
+
     scored = rows.select("doc_id", "text_hash", "text").mapInArrow(
         score, "doc_id bigint, text_hash bigint, word binary, n bigint, kind int, base double, "
                "model double, n_tokens bigint")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import edge_rows, sorted_rows, words
 from pyspark.sql import functions as F
@@ -310,3 +311,31 @@ def test_fits_read_features_from_arrow_memory(make, labels):
 
     size = sum(len(f"text {i}") for i in range(1, 30))
     assert features.fitted(sample, own, fit, b"") == repr((["Buffer"], 29, size)).encode()
+
+
+def test_sums_by_index_are_those_of_one_row_after_the_other():
+    random = np.random.default_rng(4)
+    index, values = random.integers(0, 7, 500), random.normal(0, 1, (500, 3)).astype("f4")
+    expected = np.zeros((9, 3))
+    for i, row in zip(index, values):
+        expected[i] += row
+    assert (lm_scoring._added(index, values.T.astype("f8"), 9) == expected).all()
+
+
+def test_a_batch_of_texts_becomes_rows_of_sums_and_of_other_words():
+    config = lm_scoring.LogBilinear(own=1, endings=1)
+    words = lm_scoring.Vocabulary(config, {b"a": 0, b"b": 1}, np.array([1, 2, 0]), np.array([-1.0, -2.0]),
+                                  np.zeros(2), {b"xy": 2}, np.full(4, 0.25))
+    texts = pa.array(["A b xy Zz xy", "", "b"])
+    codes, starts, numbers, others = words.read(texts)
+    assert codes.tolist() == [1, 2, 2, 3, 2, 0, 0, 2, 0] and starts.tolist() == [0, 6, 7]
+    assert [n.tolist() for n in numbers] == [[0, 1], [], [1]] and others == [{b"xy": 2, b"zz": 1}, {}, {}]
+    plain = words.read(texts, counted=False)
+    assert plain[0].tolist() == codes.tolist() and plain[2:] == ([], [])
+    part = pa.record_batch([pa.array([5, None, -3]), pa.array([1, -2, 3]), texts], ["doc_id", "text_hash", "text"])
+    rows = words.rows(part, others, [3, 1, 2], [-1.5, -2.5, -3.5], [-4.0, -5.0, -6.0], np.array([6, 1, 2]))
+    mark = [b"\xff" + i.to_bytes(8, "little", signed=True) for i in (1, -2, 3)]
+    assert [tuple(r.values()) for r in rows.to_pylist()] == [
+        (5, 1, mark[0], 3, None, -1.5, -4.0, 6), (5, 1, b"xy", 2, 2, None, None, None),
+        (5, 1, b"zz", 1, 3, None, None, None), (None, -2, mark[1], 1, None, -2.5, -5.0, 1),
+        (-3, 3, mark[2], 2, None, -3.5, -6.0, 2)]
