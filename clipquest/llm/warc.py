@@ -5,12 +5,12 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
 import posixpath
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
@@ -269,25 +269,17 @@ def _typed(write):
 
 
 def _shard_of(first_ids: list[int]):
-    """The number of first ids up to ``page_id``; by binary search where there are many."""
+    """The number of first ids up to ``page_id``, by binary search in one constant array."""
     if not first_ids:
         return F.lit(0)
-    if len(first_ids) <= 64:
-        return F.size(F.filter(F.array(*map(F.lit, first_ids)), lambda first: first <= F.col("page_id")))
-    import numpy as np
-    import pandas as pd
+    edges = F.split(F.lit(",".join(map(str, first_ids))), ",").cast("array<bigint>")
+    steps = [1 << i for i in reversed(range(len(first_ids).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda below, step: F.when(
+        F.get(edges, below + step - 1) <= F.col("page_id"), below + step).otherwise(below))
 
-    edges = np.array(first_ids)
 
-    @F.pandas_udf("int")
-    def shard(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.fillna(0), "right").astype("int32"))
-
-    return shard("page_id")
-
-
-def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    with gzip.open(io.BytesIO(data)) as stream:
+def _records(data: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    with gzip.open(data) as stream:
         while line := stream.readline():
             if line.strip() != b"WARC/1.1":
                 raise ValueError(f"no record begins with {line[:40]!r}")
@@ -306,7 +298,8 @@ def read_archives(spark: SparkSession, target: str) -> DataFrame:
     payload_bytes, payload`` (null for revisits).
 
     Files must be those of the manifest. Block and payload digests are worked out
-    again; a record with another one fails the job.
+    again; a record with another one fails the job. Workers read files as streams,
+    so a task holds some megabytes of records, however many files it takes.
     """
     manifest = spark.read.schema("name string, bytes bigint, records bigint").json(f"{target}/{_MANIFEST}")
     kind = ("page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, "
@@ -321,11 +314,13 @@ def read_archives(spark: SparkSession, target: str) -> DataFrame:
         raise ValueError(f"the archives below {target} are not those of its manifest")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _place(target)
         for batch in batches:
-            for content in batch.column(0):
+            for archive in batch.column(0).to_pylist():
                 out: list[tuple] = []
                 size = 0
-                for head, block in _records(content.as_py()):
+                data = system.open_input_stream(posixpath.join(root, _ARCHIVES, archive), compression=None)
+                for head, block in _records(data):
                     if head["warc-type"] == "warcinfo":
                         continue
                     if head["warc-block-digest"] != f"sha1:{_digest(block)}":
@@ -343,6 +338,7 @@ def read_archives(spark: SparkSession, target: str) -> DataFrame:
                     if size > 1 << 22:
                         yield _batch(out)
                         out, size = [], 0
+                data.close()
                 if out:
                     yield _batch(out)
 
@@ -352,4 +348,4 @@ def read_archives(spark: SparkSession, target: str) -> DataFrame:
         return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)],
                                [c.split()[0] for c in kind.split(", ")])
 
-    return files.select("content").mapInArrow(read, kind)
+    return files.select(name).mapInArrow(read, kind)

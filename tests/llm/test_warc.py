@@ -1,6 +1,7 @@
 """Archives: exact round trips, equal bytes, rolling, revisits and damage."""
 
 import base64
+import bisect
 import gzip
 import hashlib
 import os
@@ -8,7 +9,7 @@ import os
 import pytest
 from conftest_llm import sorted_rows
 
-from clipquest.llm.warc import ArchiveFormat, read_archives, write_archives
+from clipquest.llm.warc import ArchiveFormat, _shard_of, read_archives, write_archives
 
 BIG = "päge <b>é</b>\r\n\r\nWARC/1.1\r\n" * 400
 PAGES = ([(i, f"http://h/{i}", f"<html>{i} {BIG[:i * 37]}</html>") for i in range(40)]
@@ -71,6 +72,23 @@ def test_same_bytes_however_rows_are_dealt(spark, pages, tmp_path):
     assert sorted_rows(one) == sorted_rows(two)
 
 
+def test_more_shards_than_a_few(spark, tmp_path):
+    far = 2**60  # Neighbours that doubles cannot tell apart.
+    rows = [(far + i, f"u{i}", f"{i % 90} " * 20) for i in range(100)] + [(None, "n", "0 " * 20), (None, "n", "only")]
+    given = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = write_archives(given, str(tmp_path / "m"), ArchiveFormat(shard_bytes=600)).collect()
+    assert read(spark, str(tmp_path / "m")) == expected(rows)
+    assert [(r.shard, r.records) for r in sorted(found)] == [(i, 1) for i in range(99)] + [(99, 3)]
+
+
+@pytest.mark.parametrize("count", [0, 1, 2, 64, 65, 4096, 70_000])
+def test_shard_of_an_id(spark, count):
+    edges = [2**61 + 3 * i for i in range(count)]
+    ids = sorted({2**61 + d for d in (-2**62, -1, 0, 1, 2, 3, 190, 192, 3 * count - 4, 3 * count - 3, 3 * count)})
+    found = spark.createDataFrame([(i,) for i in ids], "page_id long").select("page_id", _shard_of(edges).alias("n"))
+    assert {r.page_id: r.n for r in found.collect()} == {i: bisect.bisect_right(edges, i) for i in ids}
+
+
 def test_urls_stay_in_their_line(spark, pages, tmp_path):
     write_archives(pages, str(tmp_path / "u"))
     urls = {r.url for r in read_archives(spark, str(tmp_path / "u")).filter("page_id = 60").collect()}
