@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from clipquest.operators.skew import (SkewPolicy, large_keys, lookup_join, only_keys, rows_per_key)
+from clipquest.operators.skew import (SkewPolicy, hot_keys, large_keys, lookup_join, only_keys,
+                                      rows_per_key)
 
 POLICY = SkewPolicy(rows_per_slice=100, max_hot_keys=30)
 
@@ -76,3 +77,12 @@ def test_only_keys(sides):
 def test_other_joins_are_refused(sides):
     with pytest.raises(ValueError):
         lookup_join(*sides, ["key"], spread=["pos"], how="full")
+
+
+@pytest.mark.parametrize("least", [1, 10, 40, 41, 1000])
+def test_hot_keys_are_those_of_exact_counts(spark, least):
+    df = spark.range(400).select(F.when(F.col("id") < 40, None).when(F.col("id") < 80, F.lit("hot")).otherwise(
+        F.concat(F.lit("k"), (F.col("id") % 30).cast("string"))).alias("k"))
+    for policy in (SkewPolicy(rows_per_slice=least), SkewPolicy(rows_per_slice=1, max_hot_keys=10)):
+        assert hot_keys(df, ["k"], policy) == large_keys(rows_per_key(df, ["k"]), ["k"], policy)
+    assert hot_keys(df.limit(0), ["k"]) == {}
